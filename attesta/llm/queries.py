@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import hash_forest
+from attesta.llm import hash_forest, packing
 from attesta.session import table
 
 
@@ -14,6 +14,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_forest.not_new(table(spark, sf_dir, "assets"), table(spark, sf_dir, "known"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found,)}
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p6_containers)}
 
 ORACLES: dict[str, str] = {}
