@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import hash_forest, leakage, packing
+from attesta.llm import hash_forest, leakage, packing, pii
 from attesta.session import table
 
 
@@ -22,6 +22,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p6_containers, p7_found)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "members")).select("doc_id", "kind", "start_pos")
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redact(table(spark, sf_dir, "documents"), table(spark, sf_dir, "members"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p6_containers, p7_found, p8_found, p8_redacted)}
 
 ORACLES: dict[str, str] = {}
