@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import hash_forest, leakage, packing, pii
+from attesta.llm import hash_forest, ivfpq, leakage, packing, pii
 from attesta.session import table
 
 
@@ -14,6 +14,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_forest.not_new(table(spark, sf_dir, "assets"), table(spark, sf_dir, "known"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivfpq.similar_pictures(table(spark, sf_dir, "assets"))
+
+
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"))
 
@@ -30,6 +34,6 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(table(spark, sf_dir, "documents"), table(spark, sf_dir, "members"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p6_containers, p7_found, p8_found, p8_redacted)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p4_found, p6_containers, p7_found, p8_found, p8_redacted)}
 
 ORACLES: dict[str, str] = {}
