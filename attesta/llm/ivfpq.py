@@ -6,9 +6,8 @@ visits the PROBES cells nearest to it; there, asymmetric distances (exact query,
 per query, and what they leave is reranked by exact distance. Both ends of a pair are queries, so a pair is found if
 either visits the other's cell.
 
-Cells lie in groups of neighbouring cells; a signature goes once to each group that it visits. Only distinct
-signatures travel, each with the few owners that can matter, and a task keeps the best of each signature as it goes:
-pairs are never listed in full, however many near copies there are.
+Only distinct signatures travel, once to each cell that they visit, each with the few owners that can matter, and a
+task keeps the best of each signature as it goes: pairs are never listed in full, however many near copies there are.
 """
 
 from __future__ import annotations
@@ -28,15 +27,17 @@ from attesta.session import materialize
 #: Most signatures that the model is fitted on, all drawn by their hash.
 SAMPLE = 1 << 15
 #: Cells visited per query, parts of a residual, codes of a part.
-PROBES, SUB, CODES = 12, 8, 256
+PROBES, SUB, CODES = 5, 8, 256
 #: What the asymmetric distance may exceed the radius by, in bits, before the exact one is asked.
-SLACK = 24
-#: Signatures per group of cells that a task should hold, and queries whose tables are held at once.
-GROUP, _CHUNK = 8192, 1024
+SLACK = 10
+#: Of the quantisation error, what the asymmetric distance to an entry at the radius holds: an entry that lies so near errs alike.
+SHARE = 1 - 4 * RADIUS / BITS
+#: Signatures that a task should hold as entries, and rows of a cell compared at once.
+GROUP, _BLOCK = 8192, 512
 #: Nearest pictures asked for.
 NEAREST = 5
 
-_SENT = "bucket long, cell int, cells binary, signature binary, owners array<long>, codes binary, bias float"
+_SENT = "bucket int, slot int, entry boolean, signature binary, owners array<long>"
 _FOUND = "signature binary, owner long, distance int"
 
 
@@ -44,14 +45,23 @@ _FOUND = "signature binary, owner long, distance int"
 class Model:
     centroids: np.ndarray  # (cells, BITS)
     codebooks: np.ndarray  # (SUB, CODES, BITS // SUB)
-    group: np.ndarray  # of each cell
-    parts: np.ndarray  # tasks that share a group
+    first: np.ndarray  # the first slot of each cell: a cell that holds much is shared by several
+    bucket: np.ndarray  # of each slot
 
 
-def signs(signatures: list[bytes]) -> np.ndarray:
+def raw(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """(n, BITS // 8) bytes of a column of signatures."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = column if isinstance(column, pa.Array) else column.chunk(0)
+    width = BITS // 8
+    if not len(column):
+        return np.zeros((0, width), np.uint8)
+    return np.frombuffer(column.buffers()[2], np.uint8).reshape(-1, width)[np.frombuffer(column.buffers()[1], np.int32)[column.offset] // width :][: len(column)]
+
+
+def signs(signatures: np.ndarray) -> np.ndarray:
     """(n, BITS) of +1 and -1; the squared distance of two rows is four times the Hamming distance."""
-    bits = np.unpackbits(np.frombuffer(b"".join(signatures), np.uint8).reshape(-1, BITS // 8), axis=1)
-    return bits.astype(np.float32) * 2 - 1
+    return np.unpackbits(signatures, axis=1).astype(np.float32) * 2 - 1
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, seed: int = 3) -> np.ndarray:
@@ -71,10 +81,12 @@ def nearest(x: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
     """The k nearest centres of each row, nearest first."""
     score = x @ centres.T - 0.5 * (centres * centres).sum(1)
     k = min(k, len(centres))
-    if k == 1:
-        return score.argmax(1)[:, None]
-    top = np.argpartition(-score, k - 1, axis=1)[:, :k]
-    return np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, 1), axis=1, kind="stable"), 1)
+    out = np.empty((len(x), k), np.int64)
+    rows = np.arange(len(x))
+    for i in range(k):  # for few of many, repeated maxima are faster than a partition
+        out[:, i] = score.argmax(1)
+        score[rows, out[:, i]] = -np.inf
+    return out
 
 
 def encode(x: np.ndarray, cell: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -88,62 +100,46 @@ def encode(x: np.ndarray, cell: np.ndarray, model: Model) -> tuple[np.ndarray, n
         codes[:, m] = nearest(part, model.codebooks[m], 1)[:, 0]
         decoded[:, m * step : (m + 1) * step] += model.codebooks[m][codes[:, m]]
     error = ((x - decoded) ** 2).sum(1)
-    return codes, ((decoded**2).sum(1) - error).astype(np.float32)
+    return codes, ((decoded**2).sum(1) - SHARE * error).astype(np.float32)
 
 
 def fit(sample: list[bytes], total: int) -> Model:
     """The model from a sample of ``total`` distinct signatures."""
-    x = signs(sample)
-    cells = int(min(len(x), 2 ** np.round(np.log2(max(1.0, 4 * np.sqrt(total))))))
+    x = signs(np.frombuffer(b"".join(sample), np.uint8).reshape(-1, BITS // 8))
+    cells = int(min(max(1, len(x) // 4), 2 ** np.round(np.log2(max(1.0, 6 * np.sqrt(total))))))
     centroids = kmeans(x, cells, 4)
     own = np.concatenate([nearest(x[s : s + 4096], centroids, 1)[:, 0] for s in range(0, len(x), 4096)])
     residual = x - centroids[own]
     step = BITS // SUB
     # Fewer codes than CODES exist only where the sample is smaller.
-    codebooks = np.stack([kmeans(residual[:16384, m * step : (m + 1) * step], CODES, 4) for m in range(SUB)])
-    groups = int(np.clip(-(-total // GROUP), 1, len(centroids)))
-    group = nearest(centroids, kmeans(centroids, groups, 6), 1)[:, 0]
-    # Groups that hold much more than others, by the sample, are shared among several tasks.
-    share = np.bincount(group[own], minlength=group.max() + 1) * (total / len(x))
-    return Model(centroids, codebooks, group, np.maximum(1, np.ceil(share / (4 * GROUP))).astype(np.int64))
+    codebooks = np.stack([kmeans(residual[:8192, m * step : (m + 1) * step], CODES, 4) for m in range(SUB)])
+    # A cell that holds more than a task should, by the sample, is cut into slots; small ones share a bucket.
+    size = np.bincount(own, minlength=len(centroids)) * (total / len(x))
+    parts = np.maximum(1, np.ceil(size / GROUP)).astype(np.int64)
+    bucket = np.floor(np.cumsum(np.repeat(size / parts, parts)) / GROUP).astype(np.int32)
+    return Model(centroids, codebooks, np.concatenate([[0], np.cumsum(parts)]), bucket)
 
 
 # -- sending signatures to the cells
 
 
 def _assign(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    first = np.concatenate([[0], np.cumsum(model.parts)])
+    parts = np.diff(model.first)
     for batch in batches:
-        for at in range(0, batch.num_rows, 2048):
-            part = batch.slice(at, 2048)
-            raw, owners = part.column(0).to_pylist(), part.column(1)
-            x = signs(raw)
-            probe = nearest(x, model.centroids, PROBES)
-            own = probe[:, 0]
-            codes, bias = encode(x, own, model)
-            spread = np.array([int.from_bytes(s[:4], "little") for s in raw])
-            # The signature as an entry, in one part of its own group.
-            entry = pa.RecordBatch.from_arrays([
-                pa.array(first[model.group[own]] + spread % model.parts[model.group[own]]), pa.array(own.astype(np.int32)), pa.nulls(len(raw), pa.binary()),
-                pa.array(raw, pa.binary()), owners, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(bias)], names=["bucket", "cell", "cells", "signature", "owners", "codes", "bias"])
-            yield entry
-            # The signature as a query, once to every part of each group that it visits.
-            groups = model.group[probe]
-            order = np.argsort(groups, axis=1, kind="stable")
-            groups, cells = np.take_along_axis(groups, order, 1), np.take_along_axis(probe, order, 1).astype(np.int32)
-            new = np.ones(groups.shape, bool)
-            new[:, 1:] = groups[:, 1:] != groups[:, :-1]
-            row, column = np.nonzero(new)
-            end = np.append(np.flatnonzero(new.ravel())[1:], new.size)
-            start = np.flatnonzero(new.ravel())
-            flat = cells.ravel()
-            lists = [flat[a:b].tobytes() for a, b in zip(start, end)]
-            copies = model.parts[groups[row, column]]
-            which = np.repeat(np.arange(len(row)), copies)
-            bucket = first[groups[row, column]][which] + np.arange(len(which)) - np.repeat(np.cumsum(copies) - copies, copies)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(bucket), pa.nulls(len(which), pa.int32()), pa.array([lists[w] for w in which], pa.binary()), pa.array([raw[row[w]] for w in which], pa.binary()),
-                owners.take(pa.array(row[which])), pa.nulls(len(which), pa.binary()), pa.nulls(len(which), pa.float32())], names=["bucket", "cell", "cells", "signature", "owners", "codes", "bias"])
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            signature = raw(part.column(0))
+            probe = nearest(signs(signature), model.centroids, PROBES)
+            spread = signature[:, :4].astype(np.int64) @ np.array([1, 256, 65536, 1 << 24])
+            # An entry in one slot of its own cell; a visitor in every other slot of the cells that it visits.
+            home = model.first[probe[:, 0]] + spread % parts[probe[:, 0]]
+            copies = parts[probe].ravel()
+            row = np.repeat(np.repeat(np.arange(len(signature)), probe.shape[1]), copies)
+            slot = np.repeat(model.first[probe].ravel() - (np.cumsum(copies) - copies), copies) + np.arange(len(row))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(model.bucket[slot]), pa.array(slot.astype(np.int32)), pa.array(slot == home[row]), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))],
+                names=["bucket", "slot", "entry", "signature", "owners"],
+            )
 
 
 # -- searching the cells
@@ -156,28 +152,16 @@ def _best(found: pd.DataFrame) -> pd.DataFrame:
 
 
 def _search(table: pa.Table, model: Model) -> pa.Table:
-    is_entry = table.column("cell").is_valid().to_numpy(zero_copy_only=False)
-    entries, queries = table.filter(pa.array(is_entry)), table.filter(pa.array(~is_entry))
-    none = pa.table({"signature": pa.array([], pa.binary()), "owner": pa.array([], pa.int64()), "distance": pa.array([], pa.int32())})
-    if not entries.num_rows or not queries.num_rows:
-        return none
-    raw = entries.column("signature").to_pylist() + queries.column("signature").to_pylist()
-    packed_words = words(raw)
-    n = entries.num_rows
-    entry_cell = entries.column("cell").to_numpy()
-    order = np.argsort(entry_cell, kind="stable")
-    codes = np.frombuffer(b"".join(entries.column("codes").to_pylist()), np.uint8).reshape(-1, SUB)
-    bias = entries.column("bias").to_numpy()
-    cells, starts = np.unique(entry_cell[order], return_index=True)
-    ends = np.append(starts[1:], n)
-    lists = queries.column("cells").to_pylist()
-    visits = np.frombuffer(b"".join(lists), np.int32)
-    visitor = np.repeat(np.arange(len(lists)), [len(v) // 4 for v in lists])
+    table = table.combine_chunks()
+    signature = raw(table.column("signature"))
+    packed_words = np.ascontiguousarray(signature).view(">u8").astype(np.uint64)
+    slot, entry = table.column("slot").to_numpy(), table.column("entry").to_numpy(zero_copy_only=False)
+    owners = table.column("owners").combine_chunks()
+    owners = owners if isinstance(owners, pa.Array) else owners.chunk(0)
+    owner_count = owners.value_lengths().to_numpy().astype(np.int64)
+    owner_first = np.cumsum(owner_count) - owner_count
+    owner_flat = owners.flatten().to_numpy()
     step = BITS // SUB
-    owner_lists = entries.column("owners").to_pylist() + queries.column("owners").to_pylist()
-    owner_count = np.array([len(o) for o in owner_lists])
-    owner_first = np.concatenate([[0], np.cumsum(owner_count)])
-    owner_flat = np.array([o for own in owner_lists for o in own], np.int64)
     kept = pd.DataFrame({"target": np.zeros(0, np.int64), "distance": np.zeros(0, np.int64), "owner": np.zeros(0, np.int64)})
     pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
@@ -194,29 +178,29 @@ def _search(table: pa.Table, model: Model) -> pa.Table:
             kept = _best(pd.concat([kept, pd.DataFrame({"target": target[which], "distance": d[which].astype(np.int64), "owner": owner})], ignore_index=True))
         size = 0
 
-    for begin in range(0, len(lists), _CHUNK):
-        x = signs(raw[n + begin : n + min(begin + _CHUNK, len(lists))])
-        tables = np.stack([x[:, m * step : (m + 1) * step] @ model.codebooks[m].T for m in range(SUB)])  # (SUB, queries, codes)
-        a, b = np.searchsorted(visitor, [begin, begin + len(x)])
-        inside_cell, inside_row = visits[a:b], visitor[a:b] - begin
-        at = np.searchsorted(cells, inside_cell)
-        there = (at < len(cells)) & (cells[np.minimum(at, len(cells) - 1)] == inside_cell)
-        at, inside_row = at[there], inside_row[there]
-        by = np.argsort(at, kind="stable")
-        at, inside_row = at[by], inside_row[by]
-        for k in np.unique(at):
-            rows = inside_row[np.searchsorted(at, k) : np.searchsorted(at, k, "right")]
-            to_centre = BITS - 2 * (x[rows] @ model.centroids[cells[k]])
-            for low in range(starts[k], ends[k], 4096):  # a cell of any size is read in blocks
-                members = order[low : min(low + 4096, ends[k])]
-                guess = tables[0][rows][:, codes[members, 0]]
+    order = np.lexsort((~entry, slot))  # by slot, its entries first
+    cuts = np.flatnonzero(np.diff(slot[order])) + 1
+    for rows in np.split(order, cuts):
+        entries = rows[entry[rows]]
+        if not len(entries) or len(rows) < 2:
+            continue
+        cell = int(np.searchsorted(model.first, slot[rows[0]], "right") - 1)
+        codes, bias = encode(signs(signature[entries]), np.full(len(entries), cell), model)
+        for begin in range(0, len(rows), _BLOCK):
+            asked = rows[begin : begin + _BLOCK]
+            x = signs(signature[asked])
+            # Tables stand codes by queries, so that looking up an entry copies one row.
+            tables = [(-2 * model.codebooks[m]) @ x[:, m * step : (m + 1) * step].T for m in range(SUB)]
+            most = 4 * (RADIUS + SLACK) - BITS + 2 * (x @ model.centroids[cell])
+            for low in range(0, len(entries), _BLOCK):
+                members = entries[low : low + _BLOCK]
+                code = codes[low : low + _BLOCK]
+                guess = tables[0][code[:, 0]]
                 for m in range(1, SUB):
-                    guess += tables[m][rows][:, codes[members, m]]
-                guess *= -2
-                guess += to_centre[:, None]
-                guess += bias[members][None, :]
-                r, c = np.nonzero(guess <= 4 * (RADIUS + SLACK))
-                q, e = rows[r] + begin + n, members[c]
+                    guess += tables[m][code[:, m]]
+                guess += bias[low : low + _BLOCK][:, None]
+                c, r = np.nonzero(guess <= most[None, :])
+                q, e = asked[r], members[c]
                 d = distances(packed_words[q], packed_words[e])
                 good = (d <= RADIUS) & (d > 0)  # distinct signatures differ, so 0 is the entry itself
                 if good.any():
@@ -225,8 +209,8 @@ def _search(table: pa.Table, model: Model) -> pa.Table:
                     if size > 200_000:
                         settle()
     settle()
-    out = kept.assign(signature=[raw[t] for t in kept["target"]])
-    return pa.table({"signature": pa.array(out["signature"].tolist(), pa.binary()), "owner": pa.array(out["owner"].to_numpy(), pa.int64()), "distance": pa.array(out["distance"].to_numpy().astype(np.int32))})
+    target = kept["target"].to_numpy()
+    return pa.table({"signature": table.column("signature").take(pa.array(target)), "owner": pa.array(kept["owner"].to_numpy(), pa.int64()), "distance": pa.array(kept["distance"].to_numpy().astype(np.int32))})
 
 
 # -- the operator
