@@ -69,6 +69,7 @@ def _parse_deep(text: str) -> Any:
                 stack[-1], want = (box, json.loads(string)), ":"
                 continue
             if isinstance(box, dict) and key is None:
+                want = "nothing"
                 break
             value = {} if mark == "{" else [] if mark == "[" else json.loads(string) if string is not None else Number(number) if number is not None else json.loads(word)
             if isinstance(box, dict):
@@ -89,6 +90,7 @@ def _parse_deep(text: str) -> Any:
         elif want == ":" and mark == ":":
             want = "value"
         else:
+            want = "nothing"
             break
     if want != "end" or text[at:].strip(" \t\n\r"):
         raise ValueError("no JSON")
@@ -143,7 +145,7 @@ def nodes(document: Any) -> list[tuple[str, str, str, str, str, int, str]]:
         if isinstance(value, dict):
             text = "{" + ",".join(f"{json.dumps(k)}:{t}" for k, t in sorted(parts[at].items())) + "}"
         elif isinstance(value, list):
-            text = "[" + ",".join(reversed(parts[at])) + "]"
+            text = "[" + ",".join(parts[at]) + "]"
         else:
             text = str(value) if isinstance(value, Number) else json.dumps(value)
         parts[at] = None

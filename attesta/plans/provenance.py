@@ -214,7 +214,7 @@ gated AS (
     coalesce(CASE c.expect WHEN 'present' THEN status IN ('valid_trusted', 'valid_untrusted') WHEN 'trusted' THEN status = 'valid_trusted' WHEN 'absent' THEN status = 'absent' ELSE true END, false) AS met
   FROM results r LEFT JOIN checks c ON r.set_name = c.name WHERE snapshot_no = (SELECT max(snapshot_no) FROM results)),
 judged AS (
-  SELECT set_name, count(*) AS total, count_if(covered) AS counted, count_if(NOT met) AS off, any_value(expect) AS expect, any_value(threshold) AS threshold, any_value(metric) AS metric,
+  SELECT set_name, count(*) AS total, count(*) FILTER (covered) AS counted, count(*) FILTER (NOT met) AS off, any_value(expect) AS expect, any_value(threshold) AS threshold, any_value(metric) AS metric,
     CASE WHEN any_value(expected) THEN count(*) ELSE 0 END AS base FROM gated GROUP BY 1),
 gate AS (
   SELECT *, CASE WHEN base = 0 THEN 100.0::double ELSE counted::double / base * 100 END AS pct FROM judged)
@@ -252,7 +252,7 @@ SELECT r.asset_id, 'c2pa.opened' || CASE WHEN trim(split_part(f.mime_type, ';',
 UNION ALL SELECT set_name, format('coverage {:.1f}% ({} of {} {}) is below {}', pct, counted, base, metric, regexp_replace(threshold::varchar, '\\.0$', '')) FROM gate WHERE threshold IS NOT NULL AND pct < threshold""",
     "report_summary": _RESULTS + """, missing AS (SELECT set_name, target, row_number() OVER (PARTITION BY set_name ORDER BY ordinal, target) AS n FROM gated WHERE expected AND status = 'absent'),
 listed AS (SELECT set_name, count(*) AS missing, string_agg(target, chr(10) ORDER BY n) FILTER (n <= 20) AS listed FROM missing GROUP BY 1),
-sums AS (SELECT set_name, count(*) AS scanned, count_if(status = 'valid_trusted') AS trusted, coalesce(avg(CASE WHEN expected THEN CASE WHEN covered THEN 100.0::double ELSE 0.0::double END END), 0.0) AS coverage, min(metric) AS metric FROM gated GROUP BY 1)
+sums AS (SELECT set_name, count(*) AS scanned, count(*) FILTER (status = 'valid_trusted') AS trusted, coalesce(avg(CASE WHEN expected THEN CASE WHEN covered THEN 100.0::double ELSE 0.0::double END END), 0.0) AS coverage, min(metric) AS metric FROM gated GROUP BY 1)
 SELECT s.set_name, scanned, trusted, coalesce(missing, 0) AS missing, coalesce(listed, '') AS listed, greatest(coalesce(missing, 0) - 20, 0) AS more, round(coverage, 6) AS coverage, metric FROM sums s LEFT JOIN listed l ON s.set_name = l.set_name""",
     "exit_codes": _RESULTS + """, reads AS (SELECT set_name, bool_or(status IS NULL AND regexp_matches(target, '^https?://')) AS net, bool_or(status IS NULL AND NOT regexp_matches(target, '^https?://')) AS bad FROM gated GROUP BY 1)
 SELECT r.set_name, (CASE WHEN net THEN 4 WHEN bad THEN 3 WHEN (expect IS NOT NULL AND off > 0) OR (threshold IS NOT NULL AND pct < threshold) THEN 1 ELSE 0 END)::int AS exit_code FROM reads r JOIN gate g ON r.set_name = g.set_name""",
