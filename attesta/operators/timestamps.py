@@ -61,14 +61,16 @@ class Parser:
     fields: tuple[str, ...]
 
 
+@lru_cache(maxsize=None)
+def _parser(pattern: str) -> Parser:
+    compiled = re.compile(rf"\A{pattern}\Z", re.ASCII)
+    return Parser(compiled, tuple(f for f in _FIELDS if f in compiled.groupindex))
+
+
 @lru_cache(maxsize=1 << 16)
 def parser_of(mask: str) -> Parser | None:
     """The parser of a shape mask, or None where no shape denotes a time of day."""
-    for shape, pattern in _SHAPES:
-        if re.fullmatch(shape, mask, re.DOTALL):
-            compiled = re.compile(rf"\A{pattern}\Z", re.ASCII)
-            return Parser(compiled, tuple(f for f in _FIELDS if f in compiled.groupindex))
-    return None
+    return next((_parser(pattern) for shape, pattern in _SHAPES if re.fullmatch(shape, mask, re.DOTALL)), None)
 
 
 def shape_mask(value: Column) -> Column:
@@ -172,8 +174,12 @@ def _convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         offsets = offset_minutes(batch["offset"])
         regions = batch["zone"].where(batch["zone"].isin(zones.names()))
         micros = np.full(len(batch), none, np.int64)
-        for mask, rows in batch.groupby("mask", sort=False).indices.items():
-            if parser := parser_of(mask):
+        # Masks that one parser reads are read together: batches hold many masks, but few parsers.
+        parsers = {mask: parser_of(mask) for mask in batch["mask"].unique()}
+        order = {id(p): p for p in parsers.values() if p}
+        reads = batch["mask"].map({mask: id(p) if p else 0 for mask, p in parsers.items()}).to_numpy()
+        for key, parser in order.items():
+            if len(rows := np.flatnonzero(reads == key)):
                 part = lambda s: s.iloc[rows].reset_index(drop=True)  # noqa: B023, E731
                 micros[rows] = _parse(part(batch["value"]), parser, part(offsets), part(regions))
         good = (micros != none) & (micros >= low) & (micros < high)
