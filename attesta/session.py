@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,18 +17,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    """A temporary folder of this process, gone when it ends."""
+    path = tempfile.mkdtemp(prefix="attesta-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can read.
+    """This application's folder in storage that all executors can read.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Only where none is set, as in a
-    local test session, a temporary folder of this machine is used.
+    It lies in the one the cluster names in ``spark.checkpoint.dir``; what is in it can go when the application has
+    ended. Only where none is set, as in a local test session, a temporary folder of this machine is used.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
-        return conf.rstrip("/")
+        return f"{conf.rstrip('/')}/attesta-{spark.sparkContext.applicationId}"
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file://" + os.path.join(tempfile.gettempdir(), "attesta-shared")
+    return _own_folder()
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -38,7 +48,7 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def slots(spark: SparkSession) -> int:
