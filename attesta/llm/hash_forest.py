@@ -36,6 +36,8 @@ from attesta.session import materialize, shared_dir, slots
 TREES = 11
 #: Most signatures of a run: what a task holds of history at once (about 25 MB with one tree).
 RUN = 1 << 19
+#: Signatures of the forest per task of a probe.
+BLOCK = 1 << 18
 #: Batch entries probed at once, times the prefixes of a round.
 _CHUNK = 1 << 13
 
@@ -138,7 +140,9 @@ class HashForest:
         Queries have the columns ``signature``, ``batch`` and ``asset``; earlier is less in (batch, asset).
         """
         folders, last = [f for f, _ in self.runs], rounds_for(recall, radius)
-        rows = queries.select("signature", "batch", "asset").repartition(2 * slots(self.spark))
+        # A task holds its block of queries, so there are enough tasks for blocks of bounded size.
+        tasks = max(2 * slots(self.spark), -(-sum(n for _, n in self.runs) // BLOCK))
+        rows = queries.select("signature", "batch", "asset").repartition(tasks)
         return rows.mapInArrow(lambda batches: _probe(batches, folders, last, radius), "asset long")
 
 
