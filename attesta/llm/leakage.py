@@ -6,6 +6,10 @@ an item the rarest combinations of successive terms are looked up first: the ter
 by their offsets, are intersected, which gives exact phrase matches. Matches of one item that lie near each
 other in text and item (proximity) mark a place, and only marked places are compared word by word.
 
+Whatever reproduces enough words there is told from habitual wording by the whole corpus: every block also counts
+the documents that hold each phrase of the items, and a phrase weighs the less the more documents hold it that
+don't reproduce the item. These counts are summed before any pair is settled.
+
 Texts are split into words; letter case and accents don't count.
 """
 
@@ -37,8 +41,10 @@ LEAST_HITS, LEAST_CHAIN, NEAR, DRIFT = 5, 2, 16, 8
 LEAST_ESTIMATE = 13
 #: Words that differ between the reproduced stretches of one passage, and the fewest words of a passage.
 GAP, LEAST_PASSAGE = 3, 8
-#: What a lost word costs, the least score of a copy and of the shorter of two passages, and the words looked at around a place.
-LOST, LEAST_SCORE, LEAST_SECOND, AROUND = 2.5, 27.5, 10.0, 45
+#: Share of the documents, and documents beside it, from which on a phrase is habit and weighs nothing.
+HABIT_SHARE, HABIT_LEAST = 0.03, 10
+#: Least evidence of a copy, and for each word of either of two passages, and the words looked at around a place.
+LEAST_EVIDENCE, LEAST_EACH, AROUND = 3.0, 0.08, 45
 #: Tokens of a block, and the distance between documents in it.
 BLOCK, BETWEEN = 1 << 20, 64
 
@@ -168,8 +174,11 @@ def phrase_keys(sequence: np.ndarray, base: int) -> np.ndarray:
     return np.where(np.min(parts, axis=0) < 0, -1, key)
 
 
-def candidates(block: Block, items: Items) -> tuple[np.ndarray, list[tuple[int, int, list[tuple[int, int]]]]]:
-    """The block's sequence, and (document, item, marked places) of every pair with enough hits near each other."""
+def candidates(block: Block, items: Items, holders: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, list[tuple[int, int]]]]]:
+    """The block's sequence, and (document, item, marked places) of every pair with enough hits near each other.
+
+    The number of the block's documents that hold each phrase of the items is added to ``holders``.
+    """
     sequence = block.sequence()
     if not len(sequence) or not len(items.phrase_keys):
         return sequence, []
@@ -182,6 +191,10 @@ def candidates(block: Block, items: Items) -> tuple[np.ndarray, list[tuple[int,
     at, slot = at[same], slot[same]
     order = np.argsort(slot, kind="stable")
     at, slot = at[order], slot[order]
+    inside = np.searchsorted(block.starts, at, "right")
+    fresh = np.ones(len(at), bool)  # positions of a phrase are in order, so a document's stand together
+    fresh[1:] = (slot[1:] != slot[:-1]) | (inside[1:] != inside[:-1])
+    holders += np.bincount(slot[fresh], minlength=len(holders))
     counts = np.bincount(slot, minlength=len(items.phrase_keys))
     firsts = np.concatenate([[0], np.cumsum(counts)])
 
@@ -264,96 +277,159 @@ def _regions(places: list[tuple[int, int]], low: int, high: int, around: int) ->
     return [(a, b) for a, b in out]
 
 
-def _reproduced(item: list[str], text: list[str]) -> int:
-    """Words of a short stretch of the item that the text gives, if imperfectly: split, joined or misspelled."""
+def _reproduced(item: list[str], text: list[str]) -> list[int]:
+    """Which words of a short stretch of the item the text gives, if imperfectly: split, joined or misspelled."""
     if not item or not text:
-        return 0
+        return []
     a, b = "".join(item), "".join(text)
     if a == b or len(b) <= 2 * len(a) + 2 and difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.75:
-        return len(item)
+        return list(range(len(item)))
     left = list(text)
-    count = 0
-    for w in item:
+    given = []
+    for i, w in enumerate(item):
         at = next((k for k, x in enumerate(left) if len(w) > 3 and difflib.SequenceMatcher(None, w, x, autojunk=False).ratio() >= 0.75), None)
         if at is not None:
-            count += 1
+            given.append(i)
             left = left[at + 1 :]
-    return count
+    return given
+
 
+def passages(item: list[str], text: list[str]) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+    """(start in item, end in item, words reproduced) of each passage that runs on, apart from imperfect copying; and which words of the item are reproduced.
 
-def passages(item: list[str], text: list[str]) -> list[tuple[int, int, int, int]]:
-    """(start in item, start in text, end in item, words reproduced) of each passage that runs on, apart from imperfect copying."""
+    Passages come in the item's and the text's order and don't overlap; shorter ones than LEAST_PASSAGE are left out.
+    """
     blocks = [b for b in difflib.SequenceMatcher(None, item, text, autojunk=False).get_matching_blocks() if b.size]
+    given = np.zeros(len(item), bool)
     out: list[list[int]] = []
     last = None
     for b in blocks:
+        given[b.a : b.a + b.size] = True
         if last is not None:
-            gap_item, gap_text = item[last.a + last.size : b.a], text[last.b + last.size : b.b]
-            again = _reproduced(gap_item, gap_text) if gap_item and len(gap_item) <= 8 and len(gap_text) <= 12 else 0
-            lost = len(gap_item) - again
-            if lost <= GAP and len(gap_text) - again <= 2 * GAP:
-                out[-1][2] = b.a + b.size
-                out[-1][3] += again + b.size
-                out[-1][4] += lost
+            start = last.a + last.size
+            gap_item, gap_text = item[start : b.a], text[last.b + last.size : b.b]
+            again = _reproduced(gap_item, gap_text) if gap_item and len(gap_item) <= 8 and len(gap_text) <= 12 else []
+            if len(gap_item) - len(again) <= GAP and len(gap_text) - len(again) <= 2 * GAP:
+                given[[start + k for k in again]] = True
+                out[-1][1] = b.a + b.size
+                out[-1][2] += len(again) + b.size
                 last = b
                 continue
-        out.append([b.a, b.b, b.a + b.size, b.size, 0])
+        out.append([b.a, b.a + b.size, b.size])
         last = b
-    return [tuple(p) for p in out]
+    return [tuple(p) for p in out if p[2] >= LEAST_PASSAGE], given
 
 
-def score(item: list[str], text: list[str]) -> tuple[int, float]:
-    """Words of the item in its best passage, or best two in the item's order, and these words less LOST for each lost one.
+def evidence(found: list[tuple[int, int, int]], given: np.ndarray, weights: np.ndarray) -> list[float]:
+    """What speaks for each passage being a copy: the weights of the item's phrases it gives less those of the words it loses.
 
-    Habitual wording agrees in formulas and differs in what is filled into them, so it loses words all along;
-    a copy, however imperfect, loses few.
+    Habitual wording agrees in formulas, which weigh little, and differs in what is filled into them; in a copy,
+    however imperfect, what is rare agrees too. ``weights`` has one for each phrase of the item; a word weighs what the
+    least telling phrase about it does.
     """
-    found = [(p[3], p[3] - LOST * p[4], p[0], p[2]) for p in passages(item, text) if p[3] >= LEAST_PASSAGE]
-    best = max(((w, s) for w, s, _, _ in found), key=lambda x: x[1], default=(0, 0.0))
-    for k, (words, value, _, end) in enumerate(found):
-        for more, other, start, _ in found[k + 1 :]:
-            # Two passages are a copy that was interrupted, or must be long enough each to be no formula.
-            if min(value, other) >= LEAST_SECOND and (start - end <= GAP or value + other >= LEAST_SCORE + LEAST_SECOND / 2) and value + other > best[1]:
-                best = (words + more, value + other)
-    return best
+    whole = np.lib.stride_tricks.sliding_window_view(given, PHRASE).all(1)
+    padded = np.pad(weights, PHRASE - 1, constant_values=np.inf)
+    word = np.lib.stride_tricks.sliding_window_view(padded, PHRASE).min(1)
+    return [float(weights[a : b - PHRASE + 1][whole[a : b - PHRASE + 1]].sum() - word[a:b][~given[a:b]].sum()) for a, b, _ in found]
+
+
+def enough_words(found: list[tuple[int, int, int]]) -> bool:
+    """Whether one or two passages reproduce LEAST_WORDS."""
+    return sum(sorted((p[2] for p in found), reverse=True)[:2]) >= LEAST_WORDS
 
 
-def reproduces(item: list[str], text: list[str]) -> bool:
-    words, value = score(item, text)
-    return words >= LEAST_WORDS and value >= LEAST_SCORE
+def reproduces(found: list[tuple[int, int, int]], values: list[float]) -> bool:
+    """Whether one or two passages reproduce LEAST_WORDS and aren't habit; each of two must tell enough for its length."""
+    rows = [(p[2], v) for p, v in zip(found, values)]
+    if any(w >= LEAST_WORDS and v >= LEAST_EVIDENCE for w, v in rows):
+        return True
+    telling = [(w, v) for w, v in rows if v >= LEAST_EACH * w]
+    return any(w + x >= LEAST_WORDS and v + y >= LEAST_EVIDENCE for k, (w, v) in enumerate(telling) for x, y in telling[k + 1 :])
+
+
+def weight(holders: np.ndarray, documents: int) -> np.ndarray:
+    """1 for a phrase that no document holds by habit, less for each doubling of those that do, 0 where they are many."""
+    most = HABIT_SHARE * documents + HABIT_LEAST
+    return np.maximum(0.0, np.log(most / (holders + 1.0)) / np.log(most))
+
+
+#: Rows with a document are pairs that reproduce enough words; the others tell how many documents hold a phrase (-1: how many there are).
+_FOUND = pa.schema([("doc_id", pa.int64()), ("item", pa.int32()), ("passages", pa.binary()), ("given", pa.binary()), ("held", pa.list_(pa.int32())), ("phrase", pa.int32()), ("documents", pa.int64())])
+_FOUND_SCHEMA = "doc_id long, item int, passages binary, given binary, held array<int>, phrase int, documents long"
 
 
 def _search(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
+    holders, documents = np.zeros(len(items.phrase_keys), np.int64), 0
+    first = np.concatenate([[0], np.cumsum([max(0, len(t) - PHRASE + 1) for t in items.tokens])])
     for batch in batches:
         for row in batch.to_pylist():
             block = Block.of(row)
-            sequence, pairs = candidates(block, items)
+            documents += len(block.docs)
+            sequence, pairs = candidates(block, items, holders)
             found = []
             for document, item, places in pairs:
                 low = int(block.starts[document])
                 text: list[str] = []
                 for a, b in _regions(places, low, low + int(block.lengths[document]), AROUND):
                     text += [*block.text(sequence, a, b), "\0"]
-                if reproduces(items.tokens[item], text):
-                    found.append((int(block.docs[document]), int(items.ids[item])))
-            columns = list(zip(*found)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id"])
+                ran, given = passages(items.tokens[item], text)
+                if enough_words(ran):
+                    there, words = set(zip(*(text[k:] for k in range(PHRASE)))), items.tokens[item]
+                    held = {int(items.phrase_of[first[item] + k]) for k in range(len(words) - PHRASE + 1) if tuple(words[k : k + PHRASE]) in there}
+                    found.append({"doc_id": int(block.docs[document]), "item": int(item), "passages": np.array(ran, np.int32).tobytes(), "given": given.tobytes(), "held": sorted(held)})
+            yield pa.RecordBatch.from_pylist(found, _FOUND)
+    some = np.flatnonzero(holders)
+    columns = {"phrase": np.append(some, -1).astype(np.int32), "documents": np.append(holders[some], documents)}
+    yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(len(some) + 1, f.type) for f in _FOUND], schema=_FOUND)
+
+
+def _settle(batches: Iterator[pa.RecordBatch], weights: list[np.ndarray], ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            ran = [tuple(p) for p in np.frombuffer(row["passages"], np.int32).reshape(-1, 3).tolist()]
+            if reproduces(ran, evidence(ran, np.frombuffer(row["given"], bool), weights[row["item"]])):
+                out.append((row["doc_id"], int(ids[row["item"]])))
+        columns = list(zip(*out)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id"])
 
 
 def search(index: DataFrame, items: Sequence[tuple[int, str]]) -> DataFrame:
     """``doc_id`` and ``item_id`` of each indexed document that reproduces an item; the items are what one broadcast holds."""
-    held = index.sparkSession.sparkContext.broadcast(Items.of(items))
-    return index.mapInArrow(lambda batches: _search(batches, held.value), "doc_id long, item_id long")
+    context = index.sparkSession.sparkContext
+    known = Items.of(items)
+    held = context.broadcast(known)
+    found = materialize(index.mapInArrow(lambda batches: _search(batches, held.value), _FOUND_SCHEMA), "pairs")
+    pairs = found.where("doc_id is not null")
+
+    # What reaches the driver is as large as the items, however many documents there are. Documents that reproduce an
+    # item don't count for the habit of its phrases, so a leak stays one however often it occurs.
+    total = found.where("doc_id is null").groupBy("phrase").agg(F.sum("documents").alias("n")).toArrow()
+    own = pairs.select("item", F.explode("held").alias("phrase")).groupBy("item", "phrase").agg(F.count("*").alias("n")).toArrow()
+    holders = np.zeros(len(known.phrase_keys) + 1, np.int64)
+    holders[total["phrase"].to_numpy()] = total["n"].to_numpy()  # the last one has the number of documents
+    width = len(known.phrase_keys) + 1
+    keys = own["item"].to_numpy().astype(np.int64) * width + own["phrase"].to_numpy()
+    order = np.argsort(keys)
+    keys, less = np.append(keys[order], np.iinfo(np.int64).max), np.append(own["n"].to_numpy()[order], 0)
+    wanted = known.item * width + known.phrase_of
+    slot = np.searchsorted(keys, wanted)
+    apart = holders[known.phrase_of] - np.where(keys[slot] == wanted, less[slot], 0)
+    each = np.split(weight(apart, int(holders[-1])), np.searchsorted(known.item, np.arange(1, len(known.ids))))
+    weights = context.broadcast((each, known.ids))
+    return pairs.select("item", "doc_id", "passages", "given").mapInArrow(lambda batches: _settle(batches, *weights.value), "doc_id long, item_id long")
 
 
 def leaked(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     """``doc_id`` and ``item_id`` of each document whose text reproduces at least 30 words of an item's text.
 
     The words must come in the item's order, as one or two passages that run on apart from imperfect copying:
-    lost, added, split, joined or misspelled words, interjections, other case, accents or line breaks.
+    lost, added, split, joined or misspelled words, interjections, other case, accents or line breaks. Wording that
+    many other documents share is no evidence of a copy.
 
     - Every document is indexed and every item is searched for in every block. Items are taken ITEMS_AT_ONCE at a
-      time, so what is broadcast is bounded; for more of them the index is stored once and searched in turns.
+      time, so what is broadcast is bounded; for more of them the index is stored once and searched in turns. Pairs
+      that reproduce enough words are stored until the phrases have been counted over all documents.
     - Null or empty texts and null ids give no rows; items of fewer than 30 words can't leak. Repeated rows of
       either table give a pair once. Texts of any length are taken whole. Empty tables give no rows; further
       columns don't matter.

@@ -60,3 +60,20 @@ def test_blocks_hold_positions_of_every_term():
     block = lk.Block.of(lk._index_block([1, 2, 3], docs).to_pylist()[0])
     sequence = block.sequence()
     assert [block.text(sequence, s, s + n) for s, n in zip(block.starts, block.lengths)] == [["a", "b", "a"], [], ["b", "e"]]
+
+
+def test_thirty_words_with_lost_ones_and_two_short_passages(spark):
+    item = prose(90)
+    about = lambda *parts: " ".join(w for p in parts for w in prose(40) + p) + " " + " ".join(prose(40))
+    lose = lambda words, *at: [w for k, w in enumerate(words) if k not in at]
+    docs = {1: about(lose(item[10:42], 9, 20)), 2: about(lose(item[10:43], 8, 20)), 3: about(lose(item[10:47], 8, 17, 26)), 4: about(lose(item[10:51], 7, 14, 22, 31))}
+    docs |= {5: about(item[5:20], item[50:65]), 6: about(item[5:21], item[50:66]), 8: about(lose(item[5:22], 8), item[50:65])}
+    none = {20: about(item[5:19], item[50:65]), 21: about(lose(item[10:41], 9, 20)), 22: about(item[5:27])}
+    assert found(spark, (docs | none).items(), [(7, " ".join(item))]) == {(d, 7) for d in docs}
+
+
+def test_wording_of_many_documents_is_no_copy(spark):
+    formula, item = prose(34), prose(60)
+    docs = [(i, " ".join(prose(30) + formula[:17] + prose(30))) for i in range(40)] + [(50 + i, " ".join(prose(30) + formula[17:] + prose(30))) for i in range(40)]
+    docs += [(100, " ".join(prose(20) + formula + prose(20))), (101, " ".join(prose(20) + item[:22] + prose(30) + formula[:12])), (102, " ".join(prose(20) + item[:30]))]
+    assert found(spark, docs, [(1, " ".join(item + formula))]) == {(102, 1)}
