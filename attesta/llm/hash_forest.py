@@ -13,11 +13,15 @@ The forest is stored as runs in the shared folder, as in a log-structured tree:
 runs are merged, and no run exceeds ``RUN`` signatures. History is never shuffled or rebuilt: a task that
 holds a block of the batch reads the runs' sorted permutations one after the other. Its cost follows the
 batch and the number of runs; entries that are settled in one round don't enter the next.
+
+Beside the runs the forest keeps the first asset of each sha256, and the hashes known before any asset, so that a
+batch is checked against all history by both. What is stored can be opened again by its path.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,19 +35,24 @@ from pyspark.sql import functions as F
 
 from attesta.functions.text import canonical_hash
 from attesta.llm.signatures import BITS, QUALITY, RADIUS, distances, packed, well_formed, words
-from attesta.session import materialize, shared_dir, slots
+from attesta.session import broadcast_if_small, materialize, shared_dir, slots
 
 TREES = 11
 #: Most signatures of a run: what a task holds of history at once (about 25 MB with one tree).
 RUN = 1 << 19
 #: Signatures of the forest per task of a probe.
 BLOCK = 1 << 18
+#: Small runs, or small tables of sha256, that may stand before they are merged, and most sha256 of a small table.
+MOST_SMALL, SMALL_TABLE = 4, 1 << 20
+#: Most distinct sha256 of a batch that are broadcast to the stored tables; of more, the tables are shuffled.
+BROADCAST = 200_000
 #: Batch entries probed at once, times the prefixes of a round.
 _CHUNK = 1 << 13
 
 _RUN_SCHEMA = "run long, tree int, size long, keys binary, rows binary, signatures binary, batch binary, asset binary"
 _ARROW = pa.schema([("run", pa.int64()), ("tree", pa.int32()), ("size", pa.int64()), *[(n, pa.binary()) for n in ("keys", "rows", "signatures", "batch", "asset")]])
 _NEVER = 2**31 - 1  # the batch number of assets that have none: after all others
+_KNOWN = (-(2**31), -(2**63))  # batch and asset of a known sha256: before all others
 
 
 def widths(trees: int = TREES) -> list[int]:
@@ -113,6 +122,21 @@ class HashForest:
         self.spark = spark
         self.path = path or f"{shared_dir(spark)}/forest-{uuid.uuid4().hex}"
         self.runs: list[tuple[str, int]] = []  # folder and number of signatures of each append or merge
+        self.hashes: list[tuple[str, int]] = []  # folder and number of sha256 of each remember or merge
+        fs, folder = pyarrow.fs.FileSystem.from_uri(self.path)
+        if fs.get_file_info(f"{folder}/contents.json").is_file:
+            with fs.open_input_file(f"{folder}/contents.json") as source:
+                stored = json.loads(source.read())
+            self.runs, self.hashes = ([(f"{self.path}/{name}", n) for name, n in stored[k]] for k in ("runs", "hashes"))
+
+    def _save(self) -> None:
+        """Write down what the forest holds, in one step, so that it can be opened again."""
+        fs, folder = pyarrow.fs.FileSystem.from_uri(self.path)
+        fs.create_dir(folder, recursive=True)
+        names = {k: [(f.rsplit("/", 1)[1], n) for f, n in v] for k, v in (("runs", self.runs), ("hashes", self.hashes))}
+        with fs.open_output_stream(f"{folder}/contents.new") as out:
+            out.write(json.dumps(names).encode())
+        fs.move(f"{folder}/contents.new", f"{folder}/contents.json")
 
     def append(self, signatures: DataFrame) -> HashForest:
         """Add signatures (columns ``signature`` binary, ``batch`` int, ``asset`` long) as new runs of at most RUN each."""
@@ -123,10 +147,45 @@ class HashForest:
             keyed = signatures.select(F.pmod(F.xxhash64("signature"), F.lit(parts)).alias("run"), "signature", "batch", "asset")
             keyed.groupBy("run").applyInArrow(_build, _RUN_SCHEMA).write.parquet(folder)
             self.runs.append((folder, size))
+            self._save()
+        return self
+
+    def remember(self, firsts: DataFrame) -> HashForest:
+        """Add sha256 (columns ``sha``, ``batch``, ``asset``) with the first asset that has each."""
+        folder = f"{self.path}/{uuid.uuid4().hex}"
+        firsts.write.parquet(folder)
+        self.hashes.append((folder, self.spark.read.parquet(folder).count()))
+        self._save()
+        return self
+
+    def know(self, known: DataFrame) -> HashForest:
+        """Add sha256 that were known before any asset, from a table with the column ``sha256``."""
+        shas = known.select(F.nullif(canonical_hash(F.col("sha256")), F.lit("")).alias("sha")).where("sha is not null").distinct()
+        return self.remember(shas.select("sha", F.lit(_KNOWN[0]).alias("batch"), F.lit(_KNOWN[1]).cast("long").alias("asset")))
+
+    def firsts(self, shas: DataFrame) -> DataFrame:
+        """``sha`` and its ``first`` (batch, asset) of those of the distinct ``shas`` that are stored. Few of them go to the stored tables, not the tables to them."""
+        if not self.hashes:
+            return shas.select("sha", F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("asset")).alias("first")).where("false")
+        stored = self.spark.read.schema("sha string, batch int, asset long").parquet(*[f for f, _ in self.hashes])
+        return stored.join(broadcast_if_small(shas, BROADCAST), "sha").groupBy("sha").agg(F.min(F.struct("batch", "asset")).alias("first"))
+
+    def tidy(self) -> HashForest:
+        """Merge what is small once more than MOST_SMALL of it have piled up, so that a probe reads few runs."""
+        if sum(n < RUN // 2 for _, n in self.runs) > MOST_SMALL:
+            self.merge()
+        small = [h for h in self.hashes if h[1] < SMALL_TABLE]
+        if len(small) > MOST_SMALL:
+            rows = self.spark.read.parquet(*[f for f, _ in small]).groupBy("sha").agg(F.min(F.struct("batch", "asset")).alias("first")).select("sha", "first.*")
+            self.hashes = [h for h in self.hashes if h not in small]
+            self.remember(rows)
         return self
 
     def merge(self) -> HashForest:
-        """Merge the runs that are smaller than half of RUN into full ones; the large ones stay as they are."""
+        """Merge the runs that are smaller than half of RUN into full ones; the large ones stay as they are.
+
+        The folders merged stay where they are: a probe that was asked for before may still read them.
+        """
         small = [r for r in self.runs if r[1] < RUN // 2]
         if len(small) > 1:
             self.runs = [r for r in self.runs if r not in small]
@@ -134,14 +193,17 @@ class HashForest:
             self.append(back.mapInArrow(_unpack, "signature binary, batch int, asset long"))
         return self
 
-    def probe(self, queries: DataFrame, recall: float = 1.0, radius: int = RADIUS) -> DataFrame:
+    def probe(self, queries: DataFrame, recall: float = 1.0, radius: int = RADIUS, size: int | None = None) -> DataFrame:
         """``asset`` of each query that has an earlier signature within the radius.
 
-        Queries have the columns ``signature``, ``batch`` and ``asset``; earlier is less in (batch, asset).
+        Queries have the columns ``signature``, ``batch`` and ``asset``; earlier is less in (batch, asset). ``size`` is their
+        number, if known: each task reads all runs, so few queries are given to few tasks.
         """
         folders, last = [f for f, _ in self.runs], rounds_for(recall, radius)
         # A task holds its block of queries, so there are enough tasks for blocks of bounded size.
         tasks = max(2 * slots(self.spark), -(-sum(n for _, n in self.runs) // BLOCK))
+        if size is not None:
+            tasks = min(tasks, -(-max(1, size) // _CHUNK))
         rows = queries.select("signature", "batch", "asset").repartition(tasks)
         return rows.mapInArrow(lambda batches: _probe(batches, folders, last, radius), "asset long")
 
@@ -281,14 +343,32 @@ def not_new(assets: DataFrame, known: DataFrame | None, recall: float = 1.0) ->
 
 
 def not_new_in_batch(forest: HashForest, batch: DataFrame, recall: float = 1.0) -> DataFrame:
-    """``asset`` of the pictures of one batch that the forest, or the batch itself, has an earlier picture for.
+    """``asset`` of each asset of one batch that is not new by :func:`not_new`, given what the forest holds and the batch itself.
 
-    The batch's signatures are added to the forest first, so later batches are checked against them too; the
-    stored history is only read.
+    What is known beforehand is given to the forest by ``know``. The batch's signatures and sha256 are added to the
+    forest first, so later batches are checked against them too, and small runs are merged when they pile up; large
+    ones are only read.
     """
     prepared = _prepared(batch)
     table = materialize(signature_table(prepared), "signatures")
-    forest.append(table.select("signature", "i.*"))
+    hashed = materialize(prepared.where("sha is not null").select("sha", "batch", "asset"), "hashes")
+    forest.remember(hashed.groupBy("sha").agg(F.min(F.struct("batch", "asset")).alias("first")).select("sha", "first.*"))
+    forest.append(table.select("signature", "i.*")).tidy()
+    seen = forest.firsts(hashed.select("sha").distinct())
+    by_sha = hashed.join(seen, "sha").where("first < struct(batch, asset)").select("asset")
     asked = table.where("q is not null")
     copies = prepared.where("pdq is not null").select("asset").join(asked.select("q.asset"), "asset", "left_anti")
-    return copies.union(forest.probe(asked.select("signature", "q.*"), recall)).distinct()
+    near = forest.probe(asked.select("signature", "q.*"), recall, size=asked.count())
+    return by_sha.union(copies).union(near).distinct()
+
+
+def not_new_by_batches(assets: DataFrame, known: DataFrame | None, forest: HashForest | None = None, recall: float = 1.0) -> DataFrame:
+    """``asset_id`` as by :func:`not_new`, found one batch after the other against a stored forest, as batches come in."""
+    forest = forest or HashForest(assets.sparkSession)
+    if known is not None:
+        forest.know(known)
+    found = assets.select(F.col("asset_id").alias("asset")).where("false")
+    for (number,) in assets.select("batch_no").distinct().orderBy(F.col("batch_no").asc_nulls_last()).toLocalIterator():
+        batch = assets.where(F.col("batch_no").eqNullSafe(F.lit(number)))
+        found = found.union(materialize(not_new_in_batch(forest, batch, recall), "found"))
+    return found.select(F.col("asset").alias("asset_id")).distinct()

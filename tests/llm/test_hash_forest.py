@@ -91,3 +91,18 @@ def test_every_distance_within_the_radius_is_found(distance):
 def test_recall_targets():
     assert hf.rounds_for(1.0) == 2 and hf.rounds_for(0.5) <= 1
     assert sum(hf.widths()) == 256 and sorted(np.concatenate(hf.permutations())) == list(range(256))
+
+
+def test_batches_against_stored_history_by_sha256_and_picture(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(hf, "MOST_SMALL", 2)
+    rows, known = family(160, 9), [" KK "]
+    rows += [(900, 3, "kk", None, 90, None, "", "", ""), (901, 1, "dd", "bad", 90, None, "", "", ""), (902, 4, " DD", None, None, None, "", "", "")]
+    path = f"file://{tmp_path}/forest"
+    hf.HashForest(spark, path).know(spark.createDataFrame([(k,) for k in known], "sha256 string"))
+    got = set()
+    for batch in (1, 2, 3, 4):
+        forest = hf.HashForest(spark, path)  # opened again for each batch
+        got |= {r.asset for r in hf.not_new_in_batch(forest, spark.createDataFrame([r for r in rows if r[1] == batch], SCHEMA)).collect()}
+        assert len(forest.runs) <= 2 and len(forest.hashes) <= 2
+    plain = [(*r[:3], r[3] if r[3] and len(r[3]) == 64 else "0", *((r[4], r[5]) if r[3] and len(r[3]) == 64 else (None, None)), *r[6:]) for r in rows]
+    assert {900, 902} <= got and got == brute(plain, known)
