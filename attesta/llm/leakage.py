@@ -201,10 +201,10 @@ def candidates(block: Block, items: Items, holders: np.ndarray) -> tuple[np.ndar
     # In each stretch of an item only the rarest phrases are looked up, so that common wording costs little.
     frequency = counts[items.phrase_of]
     stretch = items.item * 100_000_000 + items.offset // STRETCH
-    rank = np.lexsort((frequency, stretch))
+    present = np.flatnonzero(frequency)  # those that the block doesn't hold take no place
+    rank = present[np.lexsort((frequency[present], stretch[present]))]
     place = np.arange(len(rank)) - np.searchsorted(stretch[rank], stretch[rank])
     chosen = rank[place < RAREST]
-    chosen = chosen[frequency[chosen] > 0]
 
     # Positions of the chosen phrases, with the diagonal (position less offset) they vote for.
     n = frequency[chosen]

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from attesta.llm import leakage as lk
 
 DOCS, ITEMS = "doc_id long, text string, item_id string", "item_id long, text string, doc_id string"
@@ -77,3 +79,12 @@ def test_wording_of_many_documents_is_no_copy(spark):
     docs = [(i, " ".join(prose(30) + formula[:17] + prose(30))) for i in range(40)] + [(50 + i, " ".join(prose(30) + formula[17:] + prose(30))) for i in range(40)]
     docs += [(100, " ".join(prose(20) + formula + prose(20))), (101, " ".join(prose(20) + item[:22] + prose(30) + formula[:12])), (102, " ".join(prose(20) + item[:30]))]
     assert found(spark, docs, [(1, " ".join(item + formula))]) == {(102, 1)}
+
+
+def test_phrases_that_are_absent_take_no_place_of_those_present():
+    item = prose(60)
+    text = prose(50) + [w for k, w in enumerate(item) if k % 6 != 2] + prose(50)  # of each stretch three phrases are lost, three are left
+    items = lk.Items.of([(1, " ".join(item))])
+    block = lk.Block.of(lk._index_block([5], [text]).to_pylist()[0])
+    _, pairs = lk.candidates(block, items, np.zeros(len(items.phrase_keys), np.int64))
+    assert [(d, i) for d, i, _ in pairs] == [(0, 0)]
