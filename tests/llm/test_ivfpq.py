@@ -1,5 +1,6 @@
 import random
 
+from attesta.llm import ivfpq
 from attesta.llm.ivfpq import similar_pictures
 
 SCHEMA = "asset_id long, pdq string, pdq_quality int, pdq_mirrors array<string>, pdq_frames array<string>, signature string, owner string"
@@ -49,3 +50,12 @@ def test_copies_ties_and_empty(spark):
     assert {tuple(r) for r in similar_pictures(spark.createDataFrame(rows, SCHEMA)).collect()} == brute(rows)
     assert similar_pictures(spark.createDataFrame([], SCHEMA)).count() == 0
     assert similar_pictures(spark.createDataFrame([(1, None, 90, None, None, "", ""), (2, "x", 90, [None, h], [], "", ""), (None, h, 90, None, None, "", ""), (3, h, 90, None, None, "", "")], SCHEMA)).count() == 0
+
+
+def test_large_and_huge_cells_and_hot_signatures_give_the_same(spark, monkeypatch):
+    rows = rows_of(300, 7)
+    rows += [(1000 + i, rows[0][1], 90, [], None, "x", "y") for i in range(30)]
+    for name, value in (("LARGE", 24), ("PART", 8), ("HUGE", 64), ("HOT", 5)):
+        monkeypatch.setattr(ivfpq, name, value)
+    got, expected = {tuple(r) for r in similar_pictures(spark.createDataFrame(rows, SCHEMA)).collect()}, brute(rows)
+    assert len(expected & got) >= 0.95 * len(expected) > 0 and len(got - expected) <= 0.03 * len(got)
