@@ -39,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_folder()
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, name: str = "stage", compression: str = "snappy") -> DataFrame:
     """Cut the lineage of ``df`` by writing it as a parquet table in the shared folder.
 
     Unlike a cache it survives the loss of executors, and unlike ``checkpoint()`` what is read back
@@ -47,7 +47,7 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
