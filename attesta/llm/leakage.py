@@ -1,14 +1,16 @@
-"""Evaluation texts inside training text, found through a distributed positional inverted index.
+"""Evaluation texts inside training text, found through a stored, distributed positional inverted index.
 
-The index is partitioned by document: each block of documents holds its terms, the sorted positions of each
-term, and where its documents begin. A search takes every evaluation item to every block. In each stretch of
-an item the rarest combinations of successive terms are looked up first: the terms' position lists, adjusted
-by their offsets, are intersected, which gives exact phrase matches. Matches of one item that lie near each
-other in text and item (proximity) mark a place, and only marked places are compared word by word.
+The index is partitioned by document: each block of documents holds its terms and the sorted positions of each term
+(the postings), where its documents begin, and its tokens in order. It is written once and searched as often as
+there are items. A search takes the evaluation items, a bounded number at a time, to every block. For every phrase of three
+successive terms of an item the list of its rarest term, adjusted by the term's offset, is intersected with the lists
+of the other two, which gives exact phrase matches without reading the text. In each stretch of an item the rarest phrases
+that the block holds vote for places; matches of one item that lie near each other in text and item (proximity) mark a place,
+and only at marked places are tokens read and compared word by word.
 
 Whatever reproduces enough words there is told from habitual wording by the whole corpus: every block also counts
-the documents that hold each phrase of the items, and a phrase weighs the less the more documents hold it that
-don't reproduce the item. These counts are summed before any pair is settled.
+the documents that hold each phrase of the items, and a phrase weighs the less the more documents hold it that don't
+reproduce the item. These counts are summed before any pair is settled.
 
 Texts are split into words; letter case and accents don't count.
 """
@@ -18,6 +20,7 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.session import materialize
+from attesta.session import materialize, shared_dir
 
 #: Words of an item that a text must reproduce.
 LEAST_WORDS = 30
@@ -36,9 +39,13 @@ ITEMS_AT_ONCE = 5_000
 #: Successive terms intersected for one lookup, and how many lookups in each stretch of an item are made.
 PHRASE, STRETCH, RAREST = 3, 6, 3
 #: Lookups that must hit, and how far apart, in words, hits of one passage may lie.
-LEAST_HITS, LEAST_CHAIN, NEAR, DRIFT = 5, 2, 16, 8
-#: Least score, before words are compared for imperfect copying, of what is compared.
-LEAST_ESTIMATE = 13
+LEAST_HITS, LEAST_CHAIN, NEAR, DRIFT = 7, 2, 16, 8
+#: Words that must be equal, less those that aren't, along the diagonals of one chain, or of two, before words are compared for imperfect copying.
+LEAST_ESTIMATE, LEAST_OF_TWO, UNEQUAL = 9, 16, 2
+#: Words of the item that must stand beside a neighbour on some diagonal before words are compared.
+LEAST_IN_RUNS = 18
+#: Postings intersected at once.
+LOOKUPS = 1 << 21
 #: Words that differ between the reproduced stretches of one passage, and the fewest words of a passage.
 GAP, LEAST_PASSAGE = 3, 8
 #: Share of the documents, and documents beside it, from which on a phrase is habit and weighs nothing.
@@ -48,7 +55,7 @@ LEAST_EVIDENCE, LEAST_EACH, AROUND = 3.0, 0.08, 45
 #: Tokens of a block, and the distance between documents in it.
 BLOCK, BETWEEN = 1 << 20, 64
 
-INDEX_SCHEMA = "docs binary, starts binary, lengths binary, terms binary, counts binary, positions binary"
+INDEX_SCHEMA = "docs binary, starts binary, lengths binary, terms binary, counts binary, gaps binary, tokens binary"
 _INDEX = pa.schema([(n.split()[0], pa.binary()) for n in INDEX_SCHEMA.split(", ")])
 _WORD = re.compile(r"\w+")
 
@@ -78,7 +85,8 @@ def _index_block(docs: list[int], tokens: list[list[str]]) -> pa.RecordBatch:
     where = np.arange(len(flat)) + np.repeat(np.arange(len(lengths)) * BETWEEN, lengths)
     order = np.argsort(ids, kind="stable")
     counts = np.bincount(ids, minlength=len(terms)).astype(np.int32)
-    parts = [np.array(docs, np.int64).tobytes(), starts.tobytes(), lengths.tobytes(), "\n".join(terms).encode("utf-8", "replace"), counts.tobytes(), where[order].astype(np.int32).tobytes()]
+    gaps = np.diff(where[order], prepend=0).astype(np.int32)  # small numbers are stored small
+    parts = [np.array(docs, np.int64).tobytes(), starts.tobytes(), lengths.tobytes(), "\n".join(terms).encode("utf-8", "replace"), counts.tobytes(), gaps.tobytes(), ids.astype(np.int32).tobytes()]
     return pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in parts], schema=_INDEX)
 
 
@@ -114,23 +122,57 @@ class Block:
     lengths: np.ndarray
     terms: list[str]
     firsts: np.ndarray
-    positions: np.ndarray
+    postings: np.ndarray  # positions, by term and then in order
+    tokens: np.ndarray  # terms in order, document by document without what lies between
+    shifts: np.ndarray  # position less place in ``tokens``, by document
 
     @classmethod
     def of(cls, row: dict) -> Block:
         read = lambda n, t=np.int32: np.frombuffer(row[n], t)
         terms = row["terms"].decode()
-        return cls(read("docs", np.int64), read("starts"), read("lengths"), terms.split("\n") if terms else [], np.concatenate([[0], np.cumsum(read("counts"))]), read("positions"))
-
-    def sequence(self) -> np.ndarray:
-        """The term at each position, -1 between documents."""
-        end = int(self.starts[-1] + self.lengths[-1]) + BETWEEN if len(self.starts) else 0
-        out = np.full(end, -1, np.int64)
-        out[self.positions] = np.repeat(np.arange(len(self.terms)), np.diff(self.firsts))
-        return out
-
-    def text(self, sequence: np.ndarray, low: int, high: int) -> list[str]:
-        return [self.terms[t] for t in sequence[low:high] if t >= 0]
+        shifts = np.arange(len(read("starts"))) * BETWEEN
+        return cls(read("docs", np.int64), read("starts"), read("lengths"), terms.split("\n") if terms else [], np.concatenate([[0], np.cumsum(read("counts"))]), np.cumsum(read("gaps"), dtype=np.int64), read("tokens"), shifts)
+
+    def text(self, document: int, low: int, high: int) -> list[str]:
+        """The terms at positions of one document."""
+        return [self.terms[t] for t in self.at(document, low, high)]
+
+    def at(self, document: int, low: int, high: int) -> np.ndarray:
+        start, end = int(self.starts[document]), int(self.starts[document] + self.lengths[document])
+        shift = int(self.shifts[document])
+        return self.tokens[max(low, start) - shift : max(min(high, end), start) - shift]
+
+    def matches(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index of a phrase, its position) of every exact match of phrases (n, PHRASE) of terms, -1 for a term that isn't here.
+
+        The rarest term's list, adjusted by its offset, is intersected with the others', the rarer first.
+        """
+        count = np.diff(self.firsts)
+        frequency = np.where(phrases >= 0, count[phrases], 0)
+        present = np.flatnonzero((frequency > 0).all(1))
+        order = np.argsort(frequency[present], axis=1, kind="stable")
+        rarest = np.take_along_axis(frequency[present], order, 1)[:, 0]
+        span = int(self.starts[-1] + self.lengths[-1]) + BETWEEN if len(self.starts) else 1
+        keys = np.repeat(np.arange(len(count)), count) * span + self.postings  # sorted, as the postings are
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        ends = np.cumsum(rarest)
+        low = 0
+        while low < len(present):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + LOOKUPS, "right")))
+            part, n = present[low:high], rarest[low:high]
+            which = np.repeat(np.arange(len(part)), n)
+            first = order[low:high, 0]
+            into = self.firsts[phrases[part, first]]
+            position = self.postings[np.repeat(into - (np.cumsum(n) - n), n) + np.arange(len(which))] - first[which]
+            for other in range(1, PHRASE):
+                offset = order[low:high, other]
+                wanted = phrases[part, offset][which] * span + position + offset[which]
+                slot = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                same = keys[slot] == wanted
+                which, position = which[same], position[same]
+            found.append((part[which], position))
+            low = high
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
 # -- the search
@@ -143,8 +185,8 @@ class Items:
     ids: np.ndarray
     tokens: list[list[str]]
     vocabulary: dict[str, int]
-    phrase_keys: np.ndarray  # sorted
-    phrase_of: np.ndarray  # index into phrase_keys of each occurrence
+    phrases: np.ndarray  # (n, PHRASE) terms of the vocabulary, distinct
+    phrase_of: np.ndarray  # index into phrases of each occurrence
     item: np.ndarray
     offset: np.ndarray
     codes: list[np.ndarray]
@@ -153,49 +195,34 @@ class Items:
     def of(cls, rows: Sequence[tuple[int, str]]) -> Items:
         tokens = [words_of(text) for _, text in rows]
         vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for t in tokens for w in t))}
-        keys, item, offset = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, t in enumerate(tokens):
-            found = phrase_keys(np.array([vocabulary[w] for w in t], np.int64), len(vocabulary))
-            keys.append(found)
-            item.append(np.full(len(found), i))
-            offset.append(np.arange(len(found)))
-        distinct, phrase_of = np.unique(np.concatenate(keys), return_inverse=True)
-        return cls(np.array([i for i, _ in rows], np.int64), tokens, vocabulary, distinct, phrase_of, np.concatenate(item), np.concatenate(offset), [np.array([vocabulary[w] for w in t], np.int64) for t in tokens])
-
-
-def phrase_keys(sequence: np.ndarray, base: int) -> np.ndarray:
-    """A number per run of PHRASE successive terms; -1 where one of them isn't a term."""
-    if len(sequence) < PHRASE:
-        return np.zeros(0, np.int64)
-    parts = [sequence[k : len(sequence) - PHRASE + 1 + k] for k in range(PHRASE)]
-    key = parts[0]
-    for p in parts[1:]:
-        key = key * base + p
-    return np.where(np.min(parts, axis=0) < 0, -1, key)
-
-
-def candidates(block: Block, items: Items, holders: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, list[tuple[int, int]]]]]:
-    """The block's sequence, and (document, item, marked places) of every pair with enough hits near each other.
+        found, item, offset = [np.zeros((0, PHRASE), np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        codes = [np.array([vocabulary[w] for w in t], np.int64) for t in tokens]
+        for i, c in enumerate(codes):
+            if len(c) >= PHRASE:
+                found.append(np.lib.stride_tricks.sliding_window_view(c, PHRASE))
+                item.append(np.full(len(c) - PHRASE + 1, i))
+                offset.append(np.arange(len(c) - PHRASE + 1))
+        distinct, phrase_of = np.unique(np.concatenate(found), axis=0, return_inverse=True)
+        return cls(np.array([i for i, _ in rows], np.int64), tokens, vocabulary, distinct, phrase_of.ravel(), np.concatenate(item), np.concatenate(offset), codes)
+
+
+def candidates(block: Block, items: Items, holders: np.ndarray) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """(document, item, marked places) of every pair with enough hits near each other.
 
     The number of the block's documents that hold each phrase of the items is added to ``holders``.
     """
-    sequence = block.sequence()
-    if not len(sequence) or not len(items.phrase_keys):
-        return sequence, []
-    own = np.array([items.vocabulary.get(t, -1) for t in block.terms] + [-1], np.int64)  # -1 stays -1
-    seen = own[sequence]
-    keys = phrase_keys(seen, len(items.vocabulary))
-    at = np.flatnonzero(keys >= 0)
-    slot = np.minimum(np.searchsorted(items.phrase_keys, keys[at]), len(items.phrase_keys) - 1)
-    same = items.phrase_keys[slot] == keys[at]
-    at, slot = at[same], slot[same]
-    order = np.argsort(slot, kind="stable")
-    at, slot = at[order], slot[order]
+    if not len(block.postings) or not len(items.phrases):
+        return []
+    term_of = {t: i for i, t in enumerate(block.terms)}
+    ours = np.array([term_of.get(w, -1) for w in items.vocabulary], np.int64)
+    slot, at = block.matches(ours[items.phrases])
+    order = np.lexsort((at, slot))
+    slot, at = slot[order], at[order]
     inside = np.searchsorted(block.starts, at, "right")
     fresh = np.ones(len(at), bool)  # positions of a phrase are in order, so a document's stand together
     fresh[1:] = (slot[1:] != slot[:-1]) | (inside[1:] != inside[:-1])
     holders += np.bincount(slot[fresh], minlength=len(holders))
-    counts = np.bincount(slot, minlength=len(items.phrase_keys))
+    counts = np.bincount(slot, minlength=len(items.phrases))
     firsts = np.concatenate([[0], np.cumsum(counts)])
 
     # In each stretch of an item only the rarest phrases are looked up, so that common wording costs little.
@@ -215,7 +242,7 @@ def candidates(block: Block, items: Items, holders: np.ndarray) -> tuple[np.ndar
     document = np.searchsorted(block.starts, position, "right") - 1
     pair = item * (len(block.docs) + 1) + document
     if not len(pair):
-        return sequence, []
+        return []
 
     # A pair needs enough hits in all before anything is looked at more closely.
     _, back, total = np.unique(pair, return_inverse=True, return_counts=True)
@@ -246,23 +273,36 @@ def candidates(block: Block, items: Items, holders: np.ndarray) -> tuple[np.ndar
             top = sorted((hits[c] for c in chains), reverse=True)[:2]
             if sum(top) < LEAST_HITS:
                 continue
-            codes = items.codes[key // (len(block.docs) + 1)]
-            estimates = sorted((_estimate(codes, seen, int(low[c]), int(high[c]), int(least[c]), int(most[c])) for c in chains), reverse=True)
-            if estimates[0] >= LEAST_ESTIMATE or sum(estimates[:2]) >= 2 * LEAST_ESTIMATE - 4:
+            codes, document = ours[items.codes[key // (len(block.docs) + 1)]], key % (len(block.docs) + 1)
+            equals = [_equal(codes, block, document, int(least[c]), int(most[c])) for c in chains]
+            estimates = sorted((_estimate(e) for e in equals), reverse=True)
+            if (estimates[0] >= LEAST_ESTIMATE or sum(estimates[:2]) >= LEAST_OF_TWO) and _in_runs(equals) >= LEAST_IN_RUNS:
                 marked.setdefault(key, []).extend((int(low[c]), int(high[c])) for c in chains)
-    return sequence, [(key % (len(block.docs) + 1), key // (len(block.docs) + 1), places) for key, places in marked.items()]
+    return [(key % (len(block.docs) + 1), key // (len(block.docs) + 1), places) for key, places in marked.items()]
+
+
+def _equal(codes: np.ndarray, block: Block, document: int, least: int, most: int) -> np.ndarray:
+    """(diagonals, words of the item) Which words stand in the document along the diagonals of a chain."""
+    start, shift = int(block.starts[document]), int(block.shifts[document])
+    position = np.arange(least - 2, most + 3)[:, None] + np.arange(len(codes))
+    inside = (position >= start) & (position < start + int(block.lengths[document]))
+    return inside & (block.tokens[np.where(inside, position - shift, 0)] == codes)
+
+
+def _estimate(equal: np.ndarray) -> int:
+    """The best stretch of the item: words that are equal there less those that aren't."""
+    total = np.concatenate([[0], np.cumsum(np.where(equal.any(0), 1, -UNEQUAL))])
+    return int((total - np.minimum.accumulate(total)).max())
 
 
-def _estimate(codes: np.ndarray, seen: np.ndarray, low: int, high: int, least: int, most: int) -> float:
-    """The best score of a stretch of the item along the diagonals of a chain, by words that are equal there."""
-    equal = np.zeros(len(codes), bool)
-    for diagonal in range(least - 2, most + 3):
-        a = max(0, -diagonal)
-        b = min(len(codes), len(seen) - diagonal)
-        if b > a:
-            equal[a:b] |= codes[a:b] == seen[diagonal + a : diagonal + b]
-    total = np.concatenate([[0.0], np.cumsum(np.where(equal, 1.0, -2.0))])
-    return float((total - np.minimum.accumulate(total)).max())
+def _in_runs(equals: list[np.ndarray]) -> int:
+    """Words of the item that are equal together with a neighbour on some diagonal."""
+    out = np.zeros(equals[0].shape[1], bool)
+    for equal in equals:
+        both = (equal[:, 1:] & equal[:, :-1]).any(0)
+        out[1:] |= both
+        out[:-1] |= both
+    return int(out.sum())
 
 
 def _regions(places: list[tuple[int, int]], low: int, high: int, around: int) -> list[tuple[int, int]]:
@@ -294,6 +334,19 @@ def _reproduced(item: list[str], text: list[str]) -> list[int]:
     return given
 
 
+def _most_words(blocks: list[difflib.Match]) -> int:
+    """What two passages would reproduce at most, if whatever may be an imperfect copy were one."""
+    out: list[int] = []
+    for k, b in enumerate(blocks):
+        gap, other = (b.a - blocks[k - 1].a - blocks[k - 1].size, b.b - blocks[k - 1].b - blocks[k - 1].size) if k else (99, 99)
+        lone = min(gap, other) == 0
+        if gap <= (GAP if lone else max(8, GAP)) and other <= (2 * GAP if lone else 12 + 2 * GAP):
+            out[-1] += b.size + gap
+        else:
+            out.append(b.size)
+    return sum(sorted(out, reverse=True)[:2])
+
+
 def passages(item: list[str], text: list[str]) -> tuple[list[tuple[int, int, int]], np.ndarray]:
     """(start in item, end in item, words reproduced) of each passage that runs on, apart from imperfect copying; and which words of the item are reproduced.
 
@@ -301,6 +354,8 @@ def passages(item: list[str], text: list[str]) -> tuple[list[tuple[int, int, int
     """
     blocks = [b for b in difflib.SequenceMatcher(None, item, text, autojunk=False).get_matching_blocks() if b.size]
     given = np.zeros(len(item), bool)
+    if _most_words(blocks) < LEAST_WORDS:
+        return [], given
     out: list[list[int]] = []
     last = None
     for b in blocks:
@@ -359,19 +414,18 @@ _FOUND_SCHEMA = "doc_id long, item int, passages binary, given binary, held arra
 
 
 def _search(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
-    holders, documents = np.zeros(len(items.phrase_keys), np.int64), 0
+    holders, documents = np.zeros(len(items.phrases), np.int64), 0
     first = np.concatenate([[0], np.cumsum([max(0, len(t) - PHRASE + 1) for t in items.tokens])])
     for batch in batches:
         for row in batch.to_pylist():
             block = Block.of(row)
             documents += len(block.docs)
-            sequence, pairs = candidates(block, items, holders)
             found = []
-            for document, item, places in pairs:
+            for document, item, places in candidates(block, items, holders):
                 low = int(block.starts[document])
                 text: list[str] = []
                 for a, b in _regions(places, low, low + int(block.lengths[document]), AROUND):
-                    text += [*block.text(sequence, a, b), "\0"]
+                    text += [*block.text(document, a, b), "\0"]
                 ran, given = passages(items.tokens[item], text)
                 if enough_words(ran):
                     there, words = set(zip(*(text[k:] for k in range(PHRASE)))), items.tokens[item]
@@ -406,9 +460,9 @@ def search(index: DataFrame, items: Sequence[tuple[int, str]]) -> DataFrame:
     # item don't count for the habit of its phrases, so a leak stays one however often it occurs.
     total = found.where("doc_id is null").groupBy("phrase").agg(F.sum("documents").alias("n")).toArrow()
     own = pairs.select("item", F.explode("held").alias("phrase")).groupBy("item", "phrase").agg(F.count("*").alias("n")).toArrow()
-    holders = np.zeros(len(known.phrase_keys) + 1, np.int64)
+    holders = np.zeros(len(known.phrases) + 1, np.int64)
     holders[total["phrase"].to_numpy()] = total["n"].to_numpy()  # the last one has the number of documents
-    width = len(known.phrase_keys) + 1
+    width = len(known.phrases) + 1
     keys = own["item"].to_numpy().astype(np.int64) * width + own["phrase"].to_numpy()
     order = np.argsort(keys)
     keys, less = np.append(keys[order], np.iinfo(np.int64).max), np.append(own["n"].to_numpy()[order], 0)
@@ -427,23 +481,35 @@ def leaked(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     lost, added, split, joined or misspelled words, interjections, other case, accents or line breaks. Wording that
     many other documents share is no evidence of a copy.
 
-    - Every document is indexed and every item is searched for in every block. Items are taken ITEMS_AT_ONCE at a
-      time, so what is broadcast is bounded; for more of them the index is stored once and searched in turns. Pairs
+    - Every document is indexed and every item is searched for in every block. Items are taken about ITEMS_AT_ONCE at a
+      time, so what is broadcast is bounded; for more of them the stored index is searched in turns. Pairs
       that reproduce enough words are stored until the phrases have been counted over all documents.
     - Null or empty texts and null ids give no rows; items of fewer than 30 words can't leak. Repeated rows of
       either table give a pair once. Texts of any length are taken whole. Empty tables give no rows; further
       columns don't matter.
     """
-    rows = eval_items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct()
+    return search_all(write_index(documents), eval_items)
+
+
+def write_index(documents: DataFrame, path: str | None = None) -> DataFrame:
+    """The index of :func:`build_index`, stored in a folder, or where stages are kept; it can be read again by its path as parquet."""
     index = build_index(documents)
-    turns: list[list[tuple[int, str]]] = [[]]
-    for row in rows.toLocalIterator():
-        if len(turns[-1]) == ITEMS_AT_ONCE:
-            turns.append([])
-        turns[-1].append((row[0], row[1]))
-    if len(turns) > 1:
-        index = materialize(index, "index")
-    found = search(index, turns[0])
-    for items in turns[1:]:
-        found = found.union(search(index, items))
-    return found.distinct()
+    if path is None:
+        return materialize(index, "index", compression="zstd")
+    index.write.option("compression", "zstd").parquet(path)
+    return documents.sparkSession.read.schema(index.schema).parquet(path)
+
+
+def search_all(index: DataFrame, eval_items: DataFrame) -> DataFrame:
+    """``doc_id`` and ``item_id`` as of :func:`leaked`, out of a stored index."""
+    rows = eval_items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct()
+    turns = -(-rows.count() // ITEMS_AT_ONCE) or 1
+    turn = F.pmod(F.xxhash64("item_id", "text"), F.lit(turns))
+    # Each turn's items come to the driver alone, and its pairs are stored before the next.
+    held = lambda k: [(r[0], r[1]) for r in rows.where(turn == k).collect()]
+    if turns == 1:
+        return search(index, held(0)).distinct()
+    path = f"{shared_dir(index.sparkSession)}/leaked-{uuid.uuid4().hex}"
+    for k in range(turns):
+        search(index, held(k)).write.mode("append").parquet(path)
+    return index.sparkSession.read.schema("doc_id long, item_id long").parquet(path).distinct()

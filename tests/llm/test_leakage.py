@@ -57,11 +57,34 @@ def test_nulls_empty_long_and_repeated(spark):
     assert found(spark, [], [(1, item)]) == set() and found(spark, [(1, item)], []) == set()
 
 
-def test_blocks_hold_positions_of_every_term():
-    docs = [["a", "b", "a"], [], ["b", "é"]]
+def test_blocks_hold_postings_of_every_term_and_intersect_them():
+    docs = [["a", "b", "a", "b", "a"], [], ["b", "é", "a", "b", "a"]]
     block = lk.Block.of(lk._index_block([1, 2, 3], docs).to_pylist()[0])
-    sequence = block.sequence()
-    assert [block.text(sequence, s, s + n) for s, n in zip(block.starts, block.lengths)] == [["a", "b", "a"], [], ["b", "e"]]
+    assert [block.text(d, s, s + n) for d, (s, n) in enumerate(zip(block.starts, block.lengths))] == [["a", "b", "a", "b", "a"], [], ["b", "e", "a", "b", "a"]]
+    term = {t: i for i, t in enumerate(block.terms)}
+    a, b, e = term["a"], term["b"], term["e"]
+    for term_, positions in (("a", [0, 2, 4, 135, 137]), ("e", [134])):
+        k = term[term_]
+        assert block.postings[block.firsts[k] : block.firsts[k + 1]].tolist() == positions
+    which, at = block.matches(np.array([[a, b, a], [b, e, a], [a, -1, b], [a, a, a]]))
+    assert sorted(zip(which.tolist(), at.tolist())) == [(0, 0), (0, 2), (0, 135), (1, 133)]
+
+
+def test_a_stored_index_is_searched_again(spark, tmp_path):
+    item = prose(60)
+    docs = spark.createDataFrame([(1, " ".join(prose(30) + item[:40] + prose(30))), (2, " ".join(prose(80)))], "doc_id long, text string")
+    lk.write_index(docs, f"file://{tmp_path}/index")
+    for text, expected in ((item, [(1, 5)]), (prose(60), [])):
+        items = spark.createDataFrame([(5, " ".join(text))], "item_id long, text string")
+        assert [tuple(r) for r in lk.search_all(spark.read.parquet(f"file://{tmp_path}/index"), items).collect()] == expected
+
+
+def test_many_single_words_lost(spark):
+    """31 of 34, 38 of 45 and 48 of 60 words, each loss by itself."""
+    item = prose(90)
+    docs = {n: [w for k, w in enumerate(item[10 : 10 + of]) if (k + 1) % step or k >= step * (of - n)] for n, of, step in ((31, 34, 9), (38, 45, 6), (48, 60, 5))}
+    assert [len(d) for d in docs.values()] == [31, 38, 48]
+    assert found(spark, [(n, " ".join(prose(50) + d + prose(50))) for n, d in docs.items()], [(7, " ".join(item))]) == {(n, 7) for n in docs}
 
 
 def test_thirty_words_with_lost_ones_and_two_short_passages(spark):
@@ -86,5 +109,5 @@ def test_phrases_that_are_absent_take_no_place_of_those_present():
     text = prose(50) + [w for k, w in enumerate(item) if k % 6 != 2] + prose(50)  # of each stretch three phrases are lost, three are left
     items = lk.Items.of([(1, " ".join(item))])
     block = lk.Block.of(lk._index_block([5], [text]).to_pylist()[0])
-    _, pairs = lk.candidates(block, items, np.zeros(len(items.phrase_keys), np.int64))
+    pairs = lk.candidates(block, items, np.zeros(len(items.phrases), np.int64))
     assert [(d, i) for d, i, _ in pairs] == [(0, 0)]
