@@ -10,8 +10,9 @@ With ``TREES`` permutations that begin with disjoint bits, two signatures within
 most ``radius // TREES`` bits of some prefix; after that round the recall is 1, not just likely.
 
 The forest is stored as runs in the shared folder, as in a log-structured tree: a batch adds runs, small
-runs are merged, and no run exceeds ``RUN`` signatures. History is never shuffled or rebuilt: a task that
-holds a block of the batch reads the runs' sorted permutations one after the other. Its cost follows the
+runs are merged, and no run exceeds ``RUN`` signatures. History is never shuffled or rebuilt: a batch goes to the tasks that
+scan the runs, so that each run is read once, by Spark, however many tasks there are; of a batch too large for that, blocks
+are probed instead, and a task that holds one reads the runs one after the other. The cost follows the
 batch and the number of runs; entries that are settled in one round don't enter the next.
 
 Beside the runs the forest keeps the first asset of each sha256, and the hashes known before any asset, so that a
@@ -145,7 +146,8 @@ class HashForest:
             parts = -(-size // (RUN * 3 // 4))  # hashing fills runs unevenly
             folder = f"{self.path}/{uuid.uuid4().hex}"
             keyed = signatures.select(F.pmod(F.xxhash64("signature"), F.lit(parts)).alias("run"), "signature", "batch", "asset")
-            keyed.groupBy("run").applyInArrow(_build, _RUN_SCHEMA).write.parquet(folder)
+            # A file is one row group, so that a scan never parts the rows of a run.
+            keyed.groupBy("run").applyInArrow(_build, _RUN_SCHEMA).write.option("parquet.block.size", (1 << 31) - 1).parquet(folder)
             self.runs.append((folder, size))
             self._save()
         return self
@@ -197,9 +199,13 @@ class HashForest:
         """``asset`` of each query that has an earlier signature within the radius.
 
         Queries have the columns ``signature``, ``batch`` and ``asset``; earlier is less in (batch, asset). ``size`` is their
-        number, if known: each task reads all runs, so few queries are given to few tasks.
+        number, if known: up to BROADCAST of them are taken to the runs; of more, each task takes a block and reads all runs.
         """
         folders, last = [f for f, _ in self.runs], rounds_for(recall, radius)
+        if folders and size is not None and size <= BROADCAST:
+            held = self.spark.sparkContext.broadcast(_asked(queries.select("signature", "batch", "asset").toArrow()))
+            runs = self.spark.read.schema(_RUN_SCHEMA).parquet(*folders)
+            return runs.mapInArrow(lambda batches: _scan(batches, held.value, last, radius), "asset long").distinct()
         # A task holds its block of queries, so there are enough tasks for blocks of bounded size.
         tasks = max(2 * slots(self.spark), -(-sum(n for _, n in self.runs) // BLOCK))
         if size is not None:
@@ -276,12 +282,42 @@ def _spans(queries: np.ndarray, low: np.ndarray, count: np.ndarray, most: int =
         yield queries[at], low[at] + flat - (ends[at] - count[at])
 
 
+def _asked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, batches and assets of queries."""
+    return words(table.column(0).to_pylist()), table.column(1).to_numpy().astype(np.int32), table.column(2).to_numpy()
+
+
+def _scan(batches: Iterator[pa.RecordBatch], asked: tuple[np.ndarray, np.ndarray, np.ndarray], last: int, radius: int) -> Iterator[pa.RecordBatch]:
+    """Assets of the queries that have an earlier signature in one of the runs that a task scans; a run's rows stand together."""
+    sig, batch, asset = asked
+    run: dict[int, dict[str, pa.Scalar]] = {}
+
+    def settled() -> pa.RecordBatch:
+        nonlocal sig, batch, asset
+        head = run[-1]
+        read = lambda row, name, kind: np.frombuffer(row[name].as_buffer(), kind)
+        stored = (read(head, "signatures", np.uint64).reshape(-1, 4), read(head, "batch", np.int32), read(head, "asset", np.int64), lambda t: (read(run[t], "keys", np.uint32), read(run[t], "rows", np.uint32)))
+        found = search(sig, batch, asset, stored, last, radius)
+        out = pa.RecordBatch.from_arrays([pa.array(asset[found])], names=["asset"])
+        sig, batch, asset = sig[~found], batch[~found], asset[~found]
+        run.clear()
+        return out
+
+    for rows in batches:
+        for i in range(rows.num_rows):
+            run[rows.column("tree")[i].as_py()] = {n: rows.column(n)[i] for n in ("signatures", "batch", "asset", "keys", "rows")}
+            if len(run) == TREES + 1:
+                yield settled()
+    if run:
+        raise ValueError("a run's rows were parted")
+
+
 def _probe(batches: Iterator[pa.RecordBatch], folders: list[str], last: int, radius: int) -> Iterator[pa.RecordBatch]:
     block = [b for b in batches if b.num_rows]
     if not block:
         return
     table = pa.Table.from_batches(block)
-    sig, batch, asset = words(table.column(0).to_pylist()), table.column(1).to_numpy().astype(np.int32), table.column(2).to_numpy()
+    sig, batch, asset = _asked(table)
     for folder in folders:
         for run in _stored(folder):
             found = search(sig, batch, asset, run, last, radius)
