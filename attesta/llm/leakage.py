@@ -44,8 +44,6 @@ LEAST_HITS, LEAST_CHAIN, NEAR, DRIFT = 7, 2, 16, 8
 LEAST_ESTIMATE, LEAST_OF_TWO, UNEQUAL = 9, 16, 2
 #: Words of the item that must stand beside a neighbour on some diagonal before words are compared.
 LEAST_IN_RUNS = 18
-#: Postings intersected at once.
-LOOKUPS = 1 << 21
 #: Words that differ between the reproduced stretches of one passage, and the fewest words of a passage.
 GAP, LEAST_PASSAGE = 3, 8
 #: Share of the documents, and documents beside it, from which on a phrase is habit and weighs nothing.
@@ -151,28 +149,25 @@ class Block:
         frequency = np.where(phrases >= 0, count[phrases], 0)
         present = np.flatnonzero((frequency > 0).all(1))
         order = np.argsort(frequency[present], axis=1, kind="stable")
-        rarest = np.take_along_axis(frequency[present], order, 1)[:, 0]
-        span = int(self.starts[-1] + self.lengths[-1]) + BETWEEN if len(self.starts) else 1
-        keys = np.repeat(np.arange(len(count)), count) * span + self.postings  # sorted, as the postings are
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        ends = np.cumsum(rarest)
-        low = 0
-        while low < len(present):
-            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + LOOKUPS, "right")))
-            part, n = present[low:high], rarest[low:high]
-            which = np.repeat(np.arange(len(part)), n)
-            first = order[low:high, 0]
-            into = self.firsts[phrases[part, first]]
-            position = self.postings[np.repeat(into - (np.cumsum(n) - n), n) + np.arange(len(which))] - first[which]
-            for other in range(1, PHRASE):
-                offset = order[low:high, other]
-                wanted = phrases[part, offset][which] * span + position + offset[which]
-                slot = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-                same = keys[slot] == wanted
-                which, position = which[same], position[same]
-            found.append((part[which], position))
-            low = high
-        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        which, positions = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k, offsets in zip(present.tolist(), order.tolist()):
+            at = None
+            for offset in offsets:
+                term = phrases[k, offset]
+                listed = self.postings[self.firsts[term] : self.firsts[term + 1]]
+                if at is None:
+                    at = listed - offset
+                else:
+                    wanted = at + offset
+                    slot = listed.searchsorted(wanted)
+                    slot[slot == len(listed)] = 0
+                    at = at[listed[slot] == wanted]
+                    if not len(at):
+                        break
+            if len(at):
+                which.append(np.full(len(at), k))
+                positions.append(at)
+        return np.concatenate(which), np.concatenate(positions)
 
 
 # -- the search
