@@ -31,6 +31,13 @@ def stamp(text: Column) -> Column:
     return F.when(good, F.struct((days * 86400 + hour * 3600 + minute * 60 + second - offset).alias("seconds"), (zone != "").alias("zoned"), timed.alias("timed")))
 
 
+def signed_at(text: Column) -> Column:
+    """Seconds since 1970 of an RFC 3339 time, null for anything else; a fraction is cut."""
+    good = text.rlike(r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$")
+    plain = F.regexp_replace(F.upper(F.translate(text, " ", "T")), r"\.\d+", "")
+    return F.when(good, F.unix_seconds(F.try_to_timestamp(plain, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX"))))
+
+
 def iso(value: Column) -> Column:
     """The stamp as text; only the date where it has no time."""
     whole = F.timestamp_seconds(value["seconds"])

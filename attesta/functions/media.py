@@ -65,6 +65,11 @@ def explanation_key(code: Column) -> Column:
     return F.concat(F.lit("validation."), F.replace(code, F.lit("."), F.lit("_")))
 
 
+def documentation_url(code: Column, base: str) -> Column:
+    """Where a code is explained, under the address of a documentation."""
+    return F.concat(F.lit(base + "#"), F.replace(code, F.lit("."), F.lit("-")))
+
+
 def coverage_flag(status: Column, origin: Column, metric: Column) -> Column:
     """Whether a report counts for a metric: trusted, valid (trusted or not) or traced."""
     counted = F.when(metric == "valid", status.isin("valid_trusted", "valid_untrusted")).when(metric == "traced", (status == "valid_trusted") | ((origin == "traced") & (status == "valid_untrusted"))).otherwise(status == "valid_trusted")

@@ -10,12 +10,20 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Rules are unrolled up to this year; a zone's last rule is fixed, so later years could be added alike.
-LAST_YEAR = 2120
+#: Rules are unrolled up to the first year, and, for times beyond it, up to the second; those later still are taken back by whole cycles.
+LAST_YEAR, FAR_YEAR = 2120, 2560
+#: The Gregorian calendar, weekdays included, repeats after 400 years, and with it a zone's closing rule.
+CYCLE = 146_097 * 86_400
 
 
 def version() -> str:
     """Version of the tz database in use, to be stored beside results."""
+    for root in zoneinfo.TZPATH:
+        try:
+            with open(f"{root}/tzdata.zi") as file:
+                return file.readline().rsplit(" ", 1)[-1].strip()
+        except OSError:
+            continue
     try:
         import tzdata
 
@@ -30,8 +38,8 @@ def names() -> frozenset[str]:
 
 
 @lru_cache(maxsize=None)
-def transitions(name: str) -> tuple[np.ndarray, np.ndarray] | None:
-    """(starts, offsets) in seconds: ``offsets[i]`` holds from ``starts[i]`` on (UTC). None: no such zone."""
+def transitions(name: str, last_year: int = LAST_YEAR) -> tuple[np.ndarray, np.ndarray] | None:
+    """(starts, offsets) in seconds: ``offsets[i]`` holds from ``starts[i]`` on (UTC), as far as the year. None: no such zone."""
     if name not in names():
         return None
     try:
@@ -43,7 +51,7 @@ def transitions(name: str) -> tuple[np.ndarray, np.ndarray] | None:
     epoch = datetime(1970, 1, 1, tzinfo=timezone.utc)
     offset = lambda s: int((epoch + timedelta(seconds=s)).astimezone(zone).utcoffset().total_seconds())
     at = max(starts[-1] if len(starts) > 1 else 0, 0)
-    end, step = int((LAST_YEAR - 1970) * 365.2425 * 86400), 7 * 86400
+    end, step = int((last_year - 1970) * 365.2425 * 86400), 7 * 86400
     while at < end:
         if offset(at + step) != offset(at):
             low, high = at, at + step
@@ -89,7 +97,20 @@ def to_utc(wall: np.ndarray, name: str) -> tuple[np.ndarray, np.ndarray]:
     """UTC seconds of wall-clock seconds, and how many instants showed that wall time (0, 1 or more)."""
     found = np.zeros(len(wall), np.int64)
     utc = np.zeros(len(wall), np.int64)
-    table = transitions(name)
+    seconds = lambda year: int((year - 1970) * 365.2425 * 86400)
+    far = wall > seconds(LAST_YEAR - 1)
+    if far.any():
+        back = np.maximum(0, -((seconds(FAR_YEAR - 10) - wall) // CYCLE)) * CYCLE * far
+        utc[~far], found[~far] = to_utc(wall[~far], name)
+        there, found[far] = _to_utc(wall[far] - back[far], transitions(name, FAR_YEAR))
+        utc[far] = there + back[far]
+        return utc, found
+    return _to_utc(wall, transitions(name))
+
+
+def _to_utc(wall: np.ndarray, table: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    found = np.zeros(len(wall), np.int64)
+    utc = np.zeros(len(wall), np.int64)
     if table is None:
         return utc, found
     starts, offsets = table

@@ -78,6 +78,12 @@ def regressions(before: DataFrame, now: DataFrame) -> DataFrame:
     return both.where(media.status_rank(F.col("now")) < media.status_rank(F.col("was")))
 
 
+def baseline_objects(results: DataFrame) -> DataFrame:
+    """``set_name`` and ``value``: one JSON object per set, status by target in key form, keys in order. A set's targets make one text, as a baseline is one file."""
+    pairs = F.array_sort(F.collect_list(F.struct("target", "status")))
+    return baseline(results).distinct().groupBy("set_name").agg(F.to_json(F.map_from_entries(pairs)).alias("value"))
+
+
 def baseline(results: DataFrame) -> DataFrame:
     """What a baseline stores: status by target in key form, unreadable as ``error``."""
     return results.select("set_name", target_key(F.col("target")).alias("target"), F.coalesce("status", F.lit("error")).alias("status"))
@@ -107,6 +113,34 @@ def junit(gated: DataFrame) -> DataFrame:
     return gated.select("set_name", "ordinal", "target", F.when(status.isNull(), F.concat(case, F.lit('"><error message="unreadable"/></testcase>'))).when(passed, F.concat(case, F.lit('"/>'))).otherwise(failure).alias("line"))
 
 
+def junit_suites(gated: DataFrame) -> DataFrame:
+    """Per set the head of its test suite: tests, failures (unreadable targets are errors, none of them), metric and coverage."""
+    failed = F.col("status").isNotNull() & expected() & ~covered()
+    per_set = gated.groupBy("set_name").agg(
+        F.count(F.lit(1)).alias("tests"), F.count_if(failed).alias("failures"),
+        F.when(F.min("metric") == F.max("metric"), F.min("metric")).otherwise("mixed").alias("metric"),
+        F.coalesce(F.avg(F.when(expected(), F.when(covered(), 100.0).otherwise(0.0))), F.lit(0.0)).alias("coverage"),
+    )
+    head = F.format_string('<testsuite name="attesta" tests="%d" failures="%d">\n  <properties>\n    <property name="coverage_metric" value="%s"/>\n    <property name="coverage" value="%.1f"/>\n  </properties>', "tests", "failures", "metric", "coverage")
+    return per_set.select("set_name", "tests", "failures", "metric", "coverage", head.alias("head"))
+
+
+def tree_lines(reports: DataFrame) -> DataFrame:
+    """``id`` and ``text``: the tree of a result document out of :func:`attesta.operators.manifest.extract_reports`."""
+    or_ = lambda c, other: F.coalesce(c, F.lit(other))
+    parts = [
+        F.concat(F.lit("├─ credential   "), F.col("status")),
+        F.concat(F.lit("├─ claim        "), or_(F.col("generator"), "unknown generator"), F.lit(" · "), or_(F.col("algorithm"), "unknown algorithm")),
+        F.when(F.col("issuer").isNotNull() | F.col("organization").isNotNull(), F.concat(F.lit("├─ signature    "), or_(F.col("organization"), "unknown"), F.lit(" · "), or_(F.col("issuer"), "unknown issuer"))),
+        F.concat(F.lit("├─ source       "), F.col("category")),
+        F.array_join(F.transform("actions", lambda a: F.concat(F.lit("│  ├─ action    "), a["action"])), "\n"),
+        F.array_join(F.transform("ingredients", lambda i: F.concat(F.lit("│  ├─ ingredient "), or_(i["title"], "untitled"), F.lit(" ("), or_(i["relationship"], "unknown"), F.lit(")"))), "\n"),
+        F.array_join(F.transform("warnings", lambda w: F.concat(F.lit("├─ warning      "), w)), "\n"),
+        F.array_join(F.transform("errors", lambda e: F.concat(F.lit("├─ error        "), e)), "\n"),
+    ]
+    return reports.select("id", F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull() & (x != "")), "\n").alias("text"))
+
+
 def text_lines(gated: DataFrame, trust_list_version: Column) -> DataFrame:
     """The text report of each row, its lines joined."""
     status = F.col("status")

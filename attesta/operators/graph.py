@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,12 +45,16 @@ def trace_origins(stores: DataFrame) -> DataFrame:
     named = F.when(F.array_contains(F.map_keys("s.manifests"), F.col("s.active_manifest")), F.col("s.active_manifest")).otherwise(F.get(F.map_keys("s.manifests"), F.lit(0)))
     start = parsed.where("coalesce(s.validation_state, '') not in ('Invalid', 'Trusted')").select("store_id", named.alias("at"), F.coalesce("s.trusted_manifests", F.array().cast("array<string>")).alias("trusted"))
     front = start.select("store_id", "at", "trusted", F.array().cast("array<struct<is_component:boolean,idx:int>>").alias("path"))
-    hits = None
+    hits = []
     for depth in range(1, LIMITS["depth"] + 1):
-        step = front.withColumnRenamed("at", "from_label").join(links, ["store_id", "from_label"]).select("store_id", F.col("to_label").alias("at"), "trusted", F.array_append("path", F.struct("is_component", "idx")).alias("path"))
-        found = step.where(F.array_contains("trusted", F.col("at"))).select("store_id", F.lit(depth).alias("depth"), F.col("at").alias("to_label"), "path")
-        hits = found if hits is None else hits.unionByName(found)
-        front = step.where(~F.array_contains("trusted", F.col("at")))
-    best = hits.groupBy("store_id").agg(F.min(F.struct("depth", "path", "to_label")).alias("b"))
+        # Of the paths to a manifest only the least can be part of the least hit; each step is written, so that no step repeats those before it.
+        step = front.withColumnRenamed("at", "from_label").join(links, ["store_id", "from_label"]).groupBy("store_id", F.col("to_label").alias("at")).agg(F.min(F.array_append("path", F.struct("is_component", "idx"))).alias("path"), F.first("trusted").alias("trusted"))
+        step = materialize(step.withColumn("hit", F.array_contains("trusted", F.col("at"))), "step")
+        hits.append(step.where("hit").select("store_id", F.lit(depth).alias("depth"), F.col("at").alias("to_label"), "path"))
+        done = step.where("hit").select("store_id").distinct()
+        front = step.where("not hit").drop("hit").join(done, "store_id", "left_anti")
+        if step.where("not hit").isEmpty():
+            break
+    best = reduce(DataFrame.unionByName, hits).groupBy("store_id").agg(F.min(F.struct("depth", "path", "to_label")).alias("b"))
     last = F.get(F.col("b.path"), F.size("b.path") - 1)["is_component"]
     return best.select("store_id", "b.depth", "b.to_label", F.when(last, "componentOf").otherwise("parentOf").alias("relationship"))

@@ -29,6 +29,8 @@ EMBEDDED_FIELD = "raw_manifest_store"
 
 NODE_SCHEMA = "record_id long, node_path string, parent_path string, node_id string, parent_id string, field string, ordinal int, body string"
 _ARROW = pa.schema([("record_id", pa.int64()), ("node_path", pa.string()), ("parent_path", pa.string()), ("node_id", pa.string()), ("parent_id", pa.string()), ("field", pa.string()), ("ordinal", pa.int32()), ("body", pa.string())])
+#: Most repeated records that are broadcast; of more, all texts are compared.
+MOST_REPEATED = 200_000
 #: Nodes per Arrow batch handed back.
 _OUT = 20_000
 
@@ -194,6 +196,19 @@ def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """Distinct rows of (record_id, text). Ids and hashes are grouped; texts are shuffled only of those that come repeatedly."""
+    keyed = rows.withColumn("__hash", F.xxhash64("text"))
+    again = keyed.groupBy("record_id", "__hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    found = again.limit(MOST_REPEATED + 1).toArrow()
+    if found.num_rows > MOST_REPEATED:
+        return rows.distinct()
+    if not found.num_rows:
+        return rows
+    again = F.broadcast(rows.sparkSession.createDataFrame(found, schema=again.schema))
+    return keyed.join(again, ["record_id", "__hash"], "left_anti").drop("__hash").unionByName(keyed.join(again, ["record_id", "__hash"], "left_semi").drop("__hash").distinct())
+
+
 def flatten_records(df: DataFrame, record: Column, text: Column) -> DataFrame:
     """Every occurrence of an object, one row each: the bridge with the object's body. Schema: NODE_SCHEMA.
 
@@ -205,8 +220,8 @@ def flatten_records(df: DataFrame, record: Column, text: Column) -> DataFrame:
     record gives its rows once; different texts under one record give the rows of each. A root that is no
     object has nodes too. An empty table gives no rows; further columns don't matter.
     """
-    rows = df.select(record.cast("long").alias("record_id"), text.alias("text")).where("record_id is not null and text is not null").distinct()
-    return rows.mapInArrow(_flatten, NODE_SCHEMA)
+    rows = df.select(record.cast("long").alias("record_id"), text.alias("text")).where("record_id is not null and text is not null")
+    return _once(rows).mapInArrow(_flatten, NODE_SCHEMA)
 
 
 def bridge(flat: DataFrame) -> DataFrame:

@@ -60,6 +60,36 @@ def fingerprint(rgba: np.ndarray) -> dict:
     return {"pdq": hash_of(dct), "quality": quality, "black": black, "mirrors": [hash_of(dct * odd), hash_of(dct * odd[:, None])]}
 
 
+def _unfiltered(kinds: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """Pixels (rows, columns, channels) of filtered lines. What needs both the left and the upper pixel is undone along antidiagonals: all their pixels at once."""
+    height, width, channels = lines.shape
+    out = np.zeros((height + 1, width + 1, channels), np.int32)  # a row above and a column to the left, of zeros
+    out[1:, 1:] = lines
+    y = 0
+    while y < height:
+        kind = kinds[y]
+        if kind == 1:
+            out[y + 1, 1:] = np.cumsum(out[y + 1, 1:], axis=0) & 255
+        elif kind == 2:
+            out[y + 1, 1:] = (out[y + 1, 1:] + out[y, 1:]) & 255
+        elif kind:
+            end = y
+            while end < height and kinds[end] >= 3:
+                end += 1
+            average = kinds[y:end] == 3
+            for d in range(end - y + width - 1):
+                r = np.arange(max(0, d - width + 1), min(end - y, d + 1))
+                row, column = y + 1 + r, 1 + d - r
+                left, above, corner = out[row, column - 1], out[row - 1, column], out[row - 1, column - 1]
+                to_left, to_above, to_corner = np.abs(above - corner), np.abs(left - corner), np.abs(left + above - 2 * corner)
+                nearest = np.where((to_left <= to_above) & (to_left <= to_corner), left, np.where(to_above <= to_corner, above, corner))
+                out[row, column] = (out[row, column] + np.where(average[r][:, None], (left + above) // 2, nearest)) & 255
+            y = end
+            continue
+        y += 1
+    return out[1:, 1:].astype(np.uint8)
+
+
 def decode_png(data: bytes) -> np.ndarray | None:
     """8-bit grey, RGB or RGBA PNG without interlacing as (rows, columns, 4); None for anything else or what exceeds the limits."""
     if data[:8] != b"\x89PNG\r\n\x1a\n" or data[12:16] != b"IHDR":
@@ -75,20 +105,8 @@ def decode_png(data: bytes) -> np.ndarray | None:
     if len(raw) < (stride + 1) * height:
         return None
     lines = np.frombuffer(raw, np.uint8).reshape(height, stride + 1)
-    out, above = np.zeros((height, stride), np.uint8), np.zeros(stride, np.int32)
-    for y in range(height):
-        kind, line = lines[y, 0], lines[y, 1:].astype(np.int32)
-        if kind == 1:
-            line = np.cumsum(line.reshape(-1, channels), axis=0).ravel() & 255
-        elif kind == 2:
-            line = (line + above) & 255
-        elif kind:
-            for x in range(stride):
-                left, corner = (line[x - channels], above[x - channels]) if x >= channels else (0, 0)
-                guess = (left + above[x]) // 2 if kind == 3 else min((abs(above[x] - corner), 0, left), (abs(left - corner), 1, above[x]), (abs(left + above[x] - 2 * corner), 2, corner))[2]
-                line[x] = (line[x] + guess) & 255
-        out[y] = above = line
-    pixels = out.reshape(height, width, channels)
+    out = _unfiltered(lines[:, 0], lines[:, 1:].reshape(height, width, channels))
+    pixels = out
     if channels < 3:
         grey, alpha = pixels[..., :1], pixels[..., 1:] if channels == 2 else np.full((height, width, 1), 255, np.uint8)
         return np.concatenate([grey, grey, grey, alpha], 2)
@@ -119,6 +137,32 @@ def sampled(times: Column, interval: Column) -> Column:
     return F.aggregate(times, empty, lambda kept, t: F.when((F.size(kept) == 0) | (t >= F.get(kept, F.size(kept) - 1) + interval), F.array_append(kept, t)).otherwise(kept))
 
 
+def sampled_rows(frames: DataFrame, key: str, time: str, interval: int) -> DataFrame:
+    """As :func:`sampled` over rows: (``key``, ``time``) of the frames kept of each key, in one pass over sorted rows whatever a key has.
+
+    Rows are sorted within partitions of whole keys and only the last time kept is held. Null keys or times are passed over.
+    """
+    schema = f"{key} {frames.schema[key].dataType.simpleString()}, {time} long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, due = None, 0
+        for batch in batches:
+            keep = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                keep.append(k != last_key or t >= due)
+                if keep[-1]:
+                    last_key, due = k, t + interval
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    rows = frames.select(key, F.col(time).cast("long").alias(time)).where(F.col(key).isNotNull() & F.col(time).isNotNull())
+    return rows.repartition(key).sortWithinPartitions(key, time).mapInArrow(run, schema)
+
+
+def lead_frame(frames: Column) -> Column:
+    """Of an array of (hash, quality) in order the first with a quality of at least 50, else the first."""
+    return F.coalesce(F.get(F.filter(frames, lambda f: f["quality"] >= 50), F.lit(0)), F.get(frames, F.lit(0)))
+
+
 def changed_frames(hashes: Column) -> Column:
     """Of an array of hashes those that differ by more than two bits from the last kept, at most 16."""
     from attesta.functions.hashing import hamming

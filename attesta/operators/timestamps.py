@@ -167,7 +167,9 @@ def _parse(values: pd.Series, parser: Parser, offsets: pd.Series, regions: pd.Se
     return out
 
 
-def _convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _convert(batches: Iterator[pd.DataFrame], version: str) -> Iterator[pd.DataFrame]:
+    if zones.version() != version:
+        raise RuntimeError(f"this worker's tz database is {zones.version()}, the driver's {version}")
     none = np.iinfo(np.int64).min
     low, high = -62135596800 * 10**6, 253402300800 * 10**6  # years 1 to 9999
     for batch in batches:
@@ -187,7 +189,7 @@ def _convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": batch["id"][good], "utc": pd.Series(text, batch.index[good]) + "Z"})
 
 
-def normalize_timestamps(df: DataFrame, record: Column, value: Column, offset: Column, zone: Column) -> DataFrame:
+def normalize_timestamps(df: DataFrame, record: Column, value: Column, offset: Column, zone: Column, versioned: bool = False) -> DataFrame:
     """``id`` (the ``record``) and ``utc`` (``yyyy-MM-ddTHH:mm:ss.SSSSSSZ``) of each value that denotes exactly one instant.
 
     - Sources of the zone, in this order: the value itself (an offset, a short name, a bracketed region),
@@ -198,11 +200,14 @@ def normalize_timestamps(df: DataFrame, record: Column, value: Column, offset: C
       wall-clock time that its zone's clocks showed twice or never, nor of a null ``record``.
     - Repeated rows give one row; different values under one record give one row each. An empty table gives
       none. Further columns of ``df`` don't matter.
+    - All workers use the driver's version of the tz database, or fail; ``versioned`` adds it as ``tz_version``.
     """
     rows = df.select(record.cast("long").alias("id"), trimmed(value).alias("value"), trimmed(offset).alias("offset"), trimmed(zone).alias("zone"))
     # The repeats go here, where the rows are small, and whatever can't be a time never reaches Python.
     rows = rows.where("id is not null and value rlike '[0-9]{4}'").distinct().withColumn("mask", shape_mask(F.col("value")))
-    return rows.mapInPandas(_convert, "id long, utc string").distinct()
+    version = zones.version()
+    found = rows.mapInPandas(lambda batches: _convert(batches, version), "id long, utc string").distinct()
+    return found.withColumn("tz_version", F.lit(version)) if versioned else found
 
 
 def capture_times(exif_dates: DataFrame) -> DataFrame:

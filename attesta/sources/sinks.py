@@ -29,5 +29,5 @@ def write_reports(gated: DataFrame, outputs: list[tuple[str, str]], trust_list_v
 
 
 def write_baseline(results: DataFrame, path: str) -> None:
-    """Target and status as JSON lines, sorted by target over all files."""
-    gates.baseline(results).orderBy("set_name", "target").write.mode("overwrite").json(path)
+    """A folder per set with one JSON object, status by target, sorted by target; :func:`attesta.sources.targets.baselines` reads it."""
+    gates.baseline_objects(results).write.mode("overwrite").partitionBy("set_name").text(path)

@@ -1,13 +1,16 @@
+import base64
+import hashlib
 import json
 import random
 import struct
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from attesta.functions import dates, hashing, media, text
-from attesta.operators import graph, manifest, metadata, pdq
+from attesta.operators import graph, headers, manifest, metadata, pdq
 from attesta.sources import sinks, targets
 
 
@@ -194,5 +197,83 @@ def test_sources_and_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("s", 0, "t", "absent", None, "trusted", None, None)], "set_name string, ordinal int, target string, status string, origin string, metric string, expect string, threshold double")
     sinks.write_reports(rows, [("text", str(tmp_path / "t")), ("junit", str(tmp_path / "j")), ("ndjson", str(tmp_path / "n"))])
     assert "ABSENT" in spark.read.text(str(tmp_path / "t")).toPandas().value.str.cat()
-    sinks.write_baseline(rows, str(tmp_path / "b"))
-    assert spark.read.json(str(tmp_path / "b")).collect()[0].status == "absent"
+    more = rows.union(spark.createDataFrame([("s", 1, "./a", None, None, "trusted", None, None), ("q", 0, "z", "valid_trusted", None, "trusted", None, None)], rows.schema))
+    sinks.write_baseline(more, str(tmp_path / "b"))
+    assert spark.read.text(str(tmp_path / "b" / "set_name=s")).collect()[0].value == '{"a":"error","t":"absent"}'
+    assert {tuple(r) for r in targets.baselines(spark, str(tmp_path / "b")).select("set_name", "target", "status").collect()} == {("s", "a", "error"), ("s", "t", "absent"), ("q", "z", "valid_trusted")}
+
+
+def test_target_expansion(spark, tmp_path):
+    (tmp_path / "d" / "e").mkdir(parents=True)
+    for name in ("d/a.jpg", "d/b.txt", "d/e/c.jpg", "d/e/x.png"):
+        (tmp_path / name).write_bytes(b"x")
+    names = lambda *t: sorted((r.target.rsplit("/", 1)[-1], r.error_code) for r in targets.media_files(spark, [f"{tmp_path}/{x}" for x in t]).collect())
+    assert names("d/**/*.jpg") == [("a.jpg", None), ("c.jpg", None)] and names("d/*.jpg", "d/*.jpg") == [("a.jpg", None)] * 2
+    assert names("d/{a,q}.jpg") == [("a.jpg", None), ("q.jpg", "unreadable")] and names("d/b.txt") == [("b.txt", "unsupported_media_type")]
+    with pytest.raises(FileNotFoundError):
+        names("d/**/*.gif")
+    with pytest.raises(ValueError):
+        targets.checks(spark, '{"checks":[{"name":""}]}')
+
+
+def test_trust_list_and_certificates(spark, tmp_path):
+    pem = "".join(f"-----BEGIN CERTIFICATE-----\n{base64.b64encode(d).decode()}\n-----END CERTIFICATE-----\n" for d in (b"one", b"two"))
+    (tmp_path / "a.pem").write_text(pem)
+    (tmp_path / "bad.pem").write_text("nothing")
+    source = lambda *a, **k: targets.trust_list(spark, *a, "2025-01-06", **k)
+    a, bad = str(tmp_path / "a.pem"), str(tmp_path / "bad.pem")
+    assert [source(a, a, None)[1], source(None, a, a)[1], source(None, a, a, offline=True)[1], source(None, a, bad)[1]] == ["custom", "cached", "bundled", "bundled"]
+    row = source(None, a, None)[0].select("version", "certificates", headers.certificate_digests("pem").alias("d")).collect()[0]
+    assert (row.version, row.certificates, row.d) == ("2025-01-06-" + hashlib.sha256(pem.encode()).hexdigest()[:12], 2, [hashlib.sha256(x).hexdigest() for x in (b"one", b"two")])
+    df = spark.createDataFrame([(s,) for s in ("official", "interim", "both", "none", None)], "s string")
+    assert [r[0] for r in df.select(headers.anchors(F.lit("a"), F.lit("b"), F.col("s"))).collect()] == ["a", "b", "a\nb", "", ""]
+
+
+def test_headers(spark):
+    webp = lambda kind, d: b"RIFF" + struct.pack("<L", len(d) + 12) + b"WEBP" + kind + struct.pack("<L", len(d)) + d
+    files = {
+        "png": b"\x89PNG\r\n\x1a\n" + struct.pack(">L", 13) + b"IHDR" + struct.pack(">LL", 30, 20) + b"\x08\x02\0\0\0" + b"crc.", "gif": b"GIF89a" + struct.pack("<HH", 30, 20),
+        "jpeg": b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc2\x00\x09\x08" + struct.pack(">HH", 20, 30) + b"\x01\x01", "vp8x": webp(b"VP8X", b"\x02\0\0\0" + (29).to_bytes(3, "little") + (19).to_bytes(3, "little")),
+        "vp8l": webp(b"VP8L", b"\x2f" + (29 | 19 << 14).to_bytes(4, "little") + b"\0"), "vp8": webp(b"VP8 ", b"\0\0\0\x9d\x01\x2a" + struct.pack("<HH", 30, 20)),
+    }
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in files.items()] + [("cut", bytearray(files["png"][:18])), ("none", None)], "k string, c binary")
+    got = {r.k: (r.d.width, r.d.height, r.d.error) for r in df.select("k", headers.dimensions("c").alias("d")).collect()}
+    assert got == {k: (30, 20, None) for k in files} | {"cut": (None, None, None), "none": (None, None, None)}
+    huge = files["gif"][:6] + struct.pack("<HH", 60_000, 60_000)
+    assert headers.size_of(huge) == (60_000, 60_000) and spark.createDataFrame([(bytearray(huge),)], "c binary").select(headers.dimensions("c").error).collect()[0][0] == "limit_exceeded"
+    assert [headers.animated(files[k], f) for k, f in (("gif", "gif"), ("png", "png"), ("vp8x", "webp"), ("vp8l", "webp"))] == [True, False, True, False]
+    assert headers.animated(b"\0\0\0\x18ftypavis", "avif") and not headers.animated(b"\0\0\0\x18ftypavif", "avif")
+
+
+def test_addresses_times_and_placeholders(spark):
+    hosts = {"8.8.8.8": True, "10.1.1.1": False, "192.0.2.1": False, "2600::1": True, "::1": False, "fe80::1": False, "fc00::1": False, "2001:db8::1": False, "::ffff:10.0.0.1": False, "::ffff:8.8.8.8": True, "host": None}
+    df = spark.createDataFrame([(h,) for h in hosts], "h string")
+    assert {r[0]: r[1] for r in df.select("h", headers.routable("h")).collect()} == hosts
+    assert [one(spark, dates.signed_at(F.col("t")), t=t) for t in ("2026-03-14T09:21:30Z", "2026-03-14T11:21:30.9+02:00", "2026-03-14", "x", None)] == [1773480090, 1773480090, None, None, None]
+    mark, sig = b"m" * 64, b"s" * 64
+    place = b"\x58\x40" + mark
+    rows = [(b"a" + place + b"z", mark, sig), (b"a", mark, sig), (place + place, mark, sig), (place, mark, b"s"), (None, mark, sig)]
+    df = spark.createDataFrame([tuple(None if x is None else bytearray(x) for x in r) for r in rows], "c binary, p binary, s binary")
+    got = [(None if r.content is None else bytes(r.content), r.error) for r in df.select(headers.patched("c", "p", "s").alias("r")).select("r.*").collect()]
+    assert got == [(b"a\x58\x40" + sig + b"z", None), (None, "placeholder_missing"), (None, "placeholder_ambiguous"), (None, "signature_size"), (None, "placeholder_missing")]
+
+
+def test_png_filters_are_undone():
+    rng = np.random.default_rng(1)
+    for channels in (1, 3, 4):
+        pixels = rng.integers(0, 256, (23, 17, channels)).astype(np.int32)
+        kinds = rng.integers(0, 5, 23)
+        padded = np.zeros((24, 18, channels), np.int32)
+        padded[1:, 1:] = pixels
+        left, above, corner = padded[1:, :-1], padded[:-1, 1:], padded[:-1, :-1]
+        a, b, c = np.abs(above - corner), np.abs(left - corner), np.abs(left + above - 2 * corner)
+        paeth = np.where((a <= b) & (a <= c), left, np.where(b <= c, above, corner))
+        guess = np.stack([np.zeros_like(left), left, above, (left + above) // 2, paeth])[kinds, np.arange(23)]
+        assert (pdq._unfiltered(kinds, ((pixels - guess) & 255).astype(np.uint8)) == pixels).all()
+
+
+def test_rows_are_sampled_and_lead_frames_picked(spark):
+    df = spark.createDataFrame([("a", t) for t in (2600, 0, 400, 999, 1000, 1500)] + [("b", 5), ("b", None), (None, 7)], "k string, t long")
+    assert sorted(map(tuple, pdq.sampled_rows(df, "k", "t", 1000).collect())) == [("a", 0), ("a", 1000), ("a", 2600), ("b", 5)]
+    frames = spark.createDataFrame([([("x", 10), ("y", 60), ("z", 90)],), ([("x", 10)],), ([],)], "f array<struct<hash:string,quality:int>>")
+    assert [r[0] and r[0].hash for r in frames.select(pdq.lead_frame(F.col("f"))).collect()] == ["y", "x", None]

@@ -5,6 +5,7 @@ import zoneinfo
 import numpy as np
 
 from attesta.functions import zones
+from attesta.operators import timestamps
 from attesta.operators.timestamps import capture_times, parser_of
 
 SCHEMA = "exif_id long, captured_at string, offset_original string, zone_name string, zoned boolean, mask string, value string"
@@ -68,3 +69,20 @@ def test_zone_tables_agree_with_zoneinfo():
 def test_a_mask_has_one_parser():
     assert parser_of("9999:99:99 99:99:99") is parser_of("9999:99:99 99:99:99") is not None
     assert parser_of("9999:99-99 99:99:99") is None
+
+
+def test_rules_hold_beyond_the_unrolled_years():
+    from datetime import datetime, timedelta, timezone
+    from zoneinfo import ZoneInfo
+
+    walls = [datetime(y, m, 15, 12) for y in (2119, 2125, 2399, 2555, 2961, 5000, 9990) for m in (1, 7)]
+    epoch = datetime(1970, 1, 1)
+    utc, times = zones.to_utc(np.array([int((w - epoch).total_seconds()) for w in walls]), "Europe/Berlin")
+    assert (times == 1).all()
+    assert [epoch.replace(tzinfo=timezone.utc) + timedelta(seconds=int(u)) for u in utc] == [w.replace(tzinfo=ZoneInfo("Europe/Berlin")).astimezone(timezone.utc) for w in walls]
+
+
+def test_version_stands_beside_results(spark):
+    df = spark.createDataFrame([(1, "2020-07-01T12:00:00", None, "Europe/Berlin")], "i long, v string, o string, z string")
+    row = timestamps.normalize_timestamps(df, df.i, df.v, df.o, df.z, versioned=True).collect()[0]
+    assert (row.utc, row.tz_version) == ("2020-07-01T10:00:00.000000Z", zones.version())
