@@ -98,6 +98,13 @@ def exit_codes(results: DataFrame, failed: DataFrame) -> DataFrame:
     )
 
 
+def item_exits(items: DataFrame, strict: bool = False) -> DataFrame:
+    """Per set the exit code of a run over items: 2 for an error, 5 for a refusal, in a strict run 1 for one that is unpaired, ambiguous or unsigned, else 0."""
+    has = lambda *s: F.bool_or(F.coalesce(F.col("status").isin(*s), F.lit(False)))
+    loose = has("unpaired", "ambiguous", "unsigned") if strict else F.bool_or(F.lit(False))
+    return items.groupBy("set_name").agg(F.when(has("error"), 2).when(has("refused"), 5).when(loose, 1).otherwise(0).alias("exit_code"))
+
+
 def documents(gated: DataFrame, result: Column) -> DataFrame:
     """One JSON document per row: target, result, and what its coverage is."""
     coverage = F.struct(F.col("metric"), expected().alias("expected"), (expected() & covered()).alias("covered"))

@@ -24,13 +24,14 @@ def edges(stores: DataFrame) -> DataFrame:
     items = manifests.select("store_id", "labels", "label", F.posexplode(F.from_json(F.get_json_object("body", "$.ingredients"), "array<string>")).alias("idx", "item"))
     # Which keys an ingredient has counts, not their values: a null still is a manifest.
     has = F.arrays_overlap(F.json_object_keys("item"), F.array(F.lit("active_manifest"), F.lit("c2pa_manifest"), F.lit("manifest_data")))
-    codes = F.from_json(F.get_json_object("item", "$.validation_status"), "array<struct<code:string>>")
+    listed = F.get_json_object("item", "$.validation_status")
+    codes = F.from_json(F.when(listed.startswith("["), listed), "array<struct<code:string>>")
     failed = F.exists(F.coalesce(codes, F.array().cast("array<struct<code:string>>")), lambda e: F.coalesce(e["code"], F.lit("")) != "signingCredential.untrusted")
     status = F.when(~F.coalesce(has, F.lit(False)), "absent").when(failed, "present_invalid").otherwise("valid_untrusted")
     relation = F.get_json_object("item", "$.relationship")
-    listed = items.select("store_id", "labels", F.col("label").alias("from_label"), "idx", relation.alias("relation"), status.alias("status"), F.get_json_object("item", "$.active_manifest").alias("to_label")).where("relation in ('parentOf', 'componentOf')")
-    broken = listed.groupBy("store_id", "from_label").agg(F.bool_or((F.col("relation") == "componentOf") & (F.col("status") == "present_invalid")).alias("broken"))
-    kept = listed.join(broken, ["store_id", "from_label"]).where("status = 'valid_untrusted' and array_contains(labels, to_label) and not (broken and relation = 'componentOf')")
+    rows = items.select("store_id", "labels", F.col("label").alias("from_label"), "idx", relation.alias("relation"), status.alias("status"), F.get_json_object("item", "$.active_manifest").alias("to_label")).where("relation in ('parentOf', 'componentOf')")
+    broken = rows.groupBy("store_id", "from_label").agg(F.bool_or((F.col("relation") == "componentOf") & (F.col("status") == "present_invalid")).alias("broken"))
+    kept = rows.join(broken, ["store_id", "from_label"]).where("status = 'valid_untrusted' and array_contains(labels, to_label) and not (broken and relation = 'componentOf')")
     return kept.select("store_id", "from_label", "idx", (F.col("relation") == "componentOf").alias("is_component"), "to_label")
 
 

@@ -14,18 +14,24 @@ from attesta.operators import gates, graph, manifest, matching, pdq
 from attesta.session import broadcast_if_small, table
 
 
-def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each record of each snapshot as loaded last, the error status standing for an unreadable target."""
-    rows = table(spark, sf_dir, "asset_snapshots").select("snapshot_no", "set_name", target_key(F.col("target")).alias("target"), "ordinal", canonical_status(F.col("status")).alias("status"), "loaded_at")
+def ends(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """The numbers of the first and the last snapshot: one column is read, two values come back."""
+    return tuple(table(spark, sf_dir, "asset_snapshots").agg(F.min("snapshot_no"), F.max("snapshot_no")).first())
+
+
+def _results(spark: SparkSession, sf_dir: str, numbers: tuple[int | None, ...] = ()) -> DataFrame:
+    """Each record of each snapshot, or of those with the numbers, as loaded last, the error status standing for an unreadable target."""
+    rows = table(spark, sf_dir, "asset_snapshots")
+    rows = rows.where(F.col("snapshot_no").isin(*numbers)) if numbers else rows  # before anything is aggregated
+    rows = rows.select("snapshot_no", "set_name", target_key(F.col("target")).alias("target"), "ordinal", canonical_status(F.col("status")).alias("status"), "loaded_at")
     latest = rows.groupBy("snapshot_no", "set_name", "target").agg(F.max(F.struct("loaded_at", "ordinal", "status")).alias("r"))
     status = F.when(F.col("r.status") != "error", F.col("r.status"))
+    # Snapshots hold no manifest stores, so nothing is traced here; the gate over reports has origins.
     return latest.select("snapshot_no", "set_name", "target", F.col("r.ordinal").alias("ordinal"), status.alias("status"), F.lit(None).cast("string").alias("origin"))
 
 
 def _last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = _results(spark, sf_dir)
-    last = results.agg(F.max("snapshot_no").alias("snapshot_no"))
-    return gates.with_gates(results.join(F.broadcast(last), "snapshot_no"), broadcast_if_small(table(spark, sf_dir, "checks"), 100_000))
+    return gates.with_gates(_results(spark, sf_dir, ends(spark, sf_dir)[1:]), broadcast_if_small(table(spark, sf_dir, "checks"), 100_000))
 
 
 def coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,10 +65,9 @@ def result_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def baseline_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last snapshot against the first as its baseline."""
-    results = _results(spark, sf_dir)
-    ends = results.agg(F.min("snapshot_no").alias("first"), F.max("snapshot_no").alias("last"))
-    joined = results.join(F.broadcast(ends), F.col("snapshot_no").isin(F.col("first"), F.col("last")))
-    return gates.regressions(joined.where("snapshot_no = first"), joined.where("snapshot_no = last"))
+    first, last = ends(spark, sf_dir)
+    results = _results(spark, sf_dir, (first, last))
+    return gates.regressions(results.where(F.col("snapshot_no") == first), results.where(F.col("snapshot_no") == last))
 
 
 def dedupe_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,11 +124,11 @@ def date_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def validation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each code is among a report's errors, with its explanation key and kind."""
+    """How often each code is among a report's errors and warnings, with its explanation key and kind."""
     from attesta.functions.dictionaries import INFORMATIONAL_CODES, WARNING_CODES
 
-    codes = F.from_json(F.get_json_object("report_json", "$.validation.errors"), "array<struct<code:string>>")
-    rows = table(spark, sf_dir, "reports").select("report_id", F.explode(codes).alias("e")).select("report_id", F.col("e.code").alias("code")).where("code is not null").distinct()
+    listed = lambda name: F.coalesce(F.from_json(F.get_json_object("report_json", f"$.validation.{name}"), "array<struct<code:string>>"), F.array().cast("array<struct<code:string>>"))
+    rows = table(spark, sf_dir, "reports").select("report_id", F.explode(F.concat(listed("errors"), listed("warnings"))).alias("e")).select("report_id", F.col("e.code").alias("code")).where("code is not null").distinct()
     kind = F.when(F.col("code").isin(*WARNING_CODES), "warning").when(F.col("code").isin(*INFORMATIONAL_CODES), "informational").otherwise("error")
     return rows.groupBy("code").agg(F.count(F.lit(1)).alias("reports")).select("code", media.explanation_key(F.col("code")).alias("explanation"), kind.alias("kind"), "reports")
 
@@ -164,9 +169,9 @@ def last_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frame_sampler(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events per user as frames, kept greedily a day apart. A user's events are bounded by the day: one time a second at most."""
-    times = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_set(F.unix_seconds(F.col("ts").cast("timestamp")))).alias("times"))
-    return times.select("user_id", F.size(pdq.sampled(F.col("times"), F.lit(86_400))).alias("kept"))
+    """Events per user as frames, kept greedily a day apart."""
+    times = table(spark, sf_dir, "events").select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
+    return pdq.sampled_rows(times, "user_id", "at", 86_400).groupBy("user_id").agg(F.count(F.lit(1)).cast("int").alias("kept"))
 
 
 def four_cs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,10 +238,27 @@ _KNOWN = _case(D.CATEGORY_OF_TYPE, "slug")
 _RANKS = "CASE category " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in D.CATEGORY_RANK.items()) + " END"
 _LIST = lambda codes: ", ".join(f"'{c}'" for c in codes)
 
+_WORDS = lambda a, b: "(" + " + ".join(f"bit_count(xor(('0x' || {a}[{16 * k + 1}:{16 * k + 16}])::UBIGINT, ('0x' || {b}[{16 * k + 1}:{16 * k + 16}])::UBIGINT)::BIT)" for k in range(4)) + ")"
+_HEX = lambda h: f"regexp_full_match({h}, '[0-9a-fA-F]{{64}}')"
+_PART = lambda i: f"regexp_extract(t, '^(\\d{{4}})([:-])(\\d{{2}})([:-])(\\d{{2}})(?:[ T](\\d{{2}}):(\\d{{2}})(?::(\\d{{2}}))?(?:\\.\\d+)?(Z|[+-]\\d{{2}}:\\d{{2}})?)?$', {i})"
+
 ORACLES: dict[str, str] = {
+    "text_report": _RESULTS + """SELECT set_name, ordinal, concat_ws(chr(10), target, '  Content Credentials   ' || CASE WHEN status IS NULL THEN 'COULD NOT BE READ' WHEN status = 'absent' THEN 'ABSENT' ELSE 'PRESENT' END,
+CASE WHEN status LIKE 'valid%' THEN '  Manifest              VALID' WHEN status = 'present_invalid' THEN '  Manifest              INVALID' END,
+CASE WHEN status = 'valid_trusted' THEN '  Trust                 TRUSTED (2025-01-06)' WHEN status IN ('valid_untrusted', 'present_invalid') THEN '  Trust                 NOT ON THE TRUST LIST' END) AS text FROM gated""",
+    "result_documents": _RESULTS + """SELECT set_name, '{"target":' || to_json(target)::varchar || ',"result":{' || coalesce('"status":"' || status || '"', '') || '},"coverage":{"metric":"' || metric || '","expected":' || expected::varchar || ',"covered":' || (expected AND covered)::varchar || '}}' AS document FROM gated""",
+    "fingerprint_distance": f"""WITH r AS (SELECT DISTINCT asset_id, pdq, pdq_black, pdq_mirrors FROM assets WHERE {_HEX('pdq')}),
+m AS (SELECT asset_id, pdq, min({_WORDS('pdq', 'h')})::int AS mirror FROM (SELECT asset_id, pdq, unnest(pdq_mirrors) AS h FROM r) WHERE {_HEX('h')} GROUP BY 1, 2),
+b AS (SELECT DISTINCT asset_id, pdq, {_WORDS('pdq', 'pdq_black')}::int AS black FROM r WHERE {_HEX('pdq_black')})
+SELECT coalesce(b.asset_id, m.asset_id) AS asset_id, black, mirror FROM b FULL OUTER JOIN m ON b.asset_id = m.asset_id AND b.pdq = m.pdq""",
+    "exif_stamp": f"""WITH r AS (SELECT DISTINCT exif_id, trim(captured_at) AS t FROM exif_dates), p AS (SELECT exif_id, {_PART(1)} AS y, {_PART(2)} AS s1, {_PART(3)} AS mo, {_PART(4)} AS s2, {_PART(5)} AS d, {_PART(6)} AS h, {_PART(7)} AS mi, {_PART(8)} AS s, {_PART(9)} AS z FROM r),
+q AS (SELECT exif_id, y::int AS y, mo::int AS mo, d::int AS d, coalesce(TRY_CAST(h AS int), 0) AS h, coalesce(TRY_CAST(mi AS int), 0) AS mi, coalesce(TRY_CAST(s AS int), 0) AS s, h <> '' AS timed, z <> '' AS zoned,
+  CASE WHEN z IN ('', 'Z') THEN 0 ELSE (CASE WHEN z[1] = '-' THEN -1 ELSE 1 END) * (z[2:3]::int * 3600 + z[5:6]::int * 60) END AS o, CASE WHEN z IN ('', 'Z') THEN true ELSE z[2:3]::int <= 14 AND z[5:6]::int <= 59 END AS fine FROM p WHERE y <> '' AND s1 = s2),
+k AS (SELECT exif_id, zoned, timed, (epoch(make_date(y, mo, 1)) + (d - 1) * 86400 + h * 3600 + mi * 60 + s - o)::bigint AS seconds FROM q WHERE fine AND y > 0 AND mo BETWEEN 1 AND 12 AND d BETWEEN 1 AND 31 AND h <= 23 AND mi <= 59 AND s <= 60)
+SELECT DISTINCT exif_id, seconds, zoned, timed, CASE WHEN timed THEN strftime(make_timestamp(seconds * 1000000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN zoned THEN 'Z' ELSE '' END ELSE strftime(make_timestamp(seconds * 1000000), '%Y-%m-%d') END AS iso FROM k""",
     "media_types": f"""SELECT {_FORMAT} AS format, coalesce({_case(D.MIME_OF_EXTENSION, "lower(split_part(asset_location, '.', -1))")}, 'application/octet-stream') AS by_name,
 CASE WHEN size_bytes > 67108864 THEN 'limit_exceeded' WHEN {_FORMAT} IS NULL THEN 'unsupported_media_type' ELSE 'none' END AS error, count(*) AS files FROM assets GROUP BY 1, 2, 3""",
-    "validation_codes": f"""WITH j AS (SELECT report_id, TRY_CAST(report_json AS JSON) AS j FROM reports), e AS (SELECT report_id, j->'$.validation.errors' AS e FROM j),
+    "validation_codes": f"""WITH j AS (SELECT report_id, TRY_CAST(report_json AS JSON) AS j FROM reports), e AS (SELECT report_id, j->'$.validation.errors' AS e FROM j UNION ALL SELECT report_id, j->'$.validation.warnings' FROM j),
 c AS (SELECT DISTINCT report_id, unnest(CASE json_type(e) WHEN 'ARRAY' THEN (e->>'$[*].code') WHEN 'OBJECT' THEN [e->>'$.code'] END) AS code FROM e)
 SELECT code, 'validation.' || replace(code, '.', '_') AS explanation, CASE WHEN code IN ({_LIST(D.WARNING_CODES)}) THEN 'warning' WHEN code IN ({_LIST(D.INFORMATIONAL_CODES)}) THEN 'informational' ELSE 'error' END AS kind, count(*) AS reports FROM c WHERE code IS NOT NULL GROUP BY 1""",
     "category_fold": f"""WITH j AS (SELECT DISTINCT report_id, TRY_CAST(report_json AS JSON)->'$.actions' AS a FROM reports),
