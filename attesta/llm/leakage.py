@@ -39,7 +39,7 @@ ITEMS_AT_ONCE = 5_000
 #: Successive terms intersected for one lookup, and how many lookups in each stretch of an item are made.
 PHRASE, STRETCH, RAREST = 3, 6, 3
 #: Lookups that must hit, and how far apart, in words, hits of one passage may lie.
-LEAST_HITS, LEAST_CHAIN, NEAR, DRIFT = 7, 2, 16, 8
+LEAST_HITS, LEAST_CHAIN, NEAR, DRIFT = 8, 2, 16, 8
 #: Words that must be equal, less those that aren't, along the diagonals of one chain, or of two, before words are compared for imperfect copying.
 LEAST_ESTIMATE, LEAST_OF_TWO, UNEQUAL = 9, 16, 2
 #: Words of the item that must stand beside a neighbour on some diagonal before words are compared.
